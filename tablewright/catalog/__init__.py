@@ -1,6 +1,8 @@
 """All registered queries and their SQL twins."""
 
-from . import clean_queries, describe_queries, source_queries  # noqa: F401
+from . import (  # noqa: F401
+    clean_queries, describe_queries, diagnose_queries, predict_queries, prescribe_queries, reshape_queries, source_queries,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

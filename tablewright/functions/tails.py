@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -57,7 +57,7 @@ def f_tail(f: float, d1: float, d2: float) -> float:
     return incomplete_beta(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _f_tail_udf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     rows = zip(*(s.astype("float64").to_numpy() for s in (f, d1, d2)))
     return pd.Series(np.array([f_tail(*row) for row in rows], dtype="float64"))

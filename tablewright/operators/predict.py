@@ -18,6 +18,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions.columns import CATEGORICAL, NUMERIC, as_double, col, column_roles, pick, present, require, require_some
 from ..functions.hashing import key_digest
+from .clean import most_frequent
 from .diagnose import CLASS_LIMIT
 
 # Usual share of test rows, seed, forest size and boosting rounds.
@@ -65,11 +66,12 @@ def _layout(df: DataFrame, names: Sequence[str]) -> Layout:
     )
 
 
-def _typed(df: DataFrame, layout: Layout) -> DataFrame:
-    """Numeric features as doubles under fixed inner names."""
+def _typed(df: DataFrame, layout: Layout, common: dict[str, str | None]) -> DataFrame:
+    """Features under fixed inner names: numbers as doubles, missing strings replaced
+    by the most frequent training value."""
     return df.withColumns(
         {f"__x{i}": as_double(df, c) for i, c in enumerate(layout.numeric)}
-        | {f"__s{i}": present(df, c) for i, c in enumerate(layout.text)}
+        | {f"__s{i}": F.coalesce(present(df, c), F.lit(common.get(c))) for i, c in enumerate(layout.text)}
     )
 
 
@@ -77,8 +79,7 @@ def preparation(layout: Layout, one_hot: bool = True) -> list:
     """Stages from ``__x…`` and ``__s…`` to ``features``: median fill and standardising
     for numbers; for strings sorted codes and, for linear use, one slot per level.
 
-    The dropped last slot belongs to values unseen in training, which so become zeros;
-    a missing string takes the same road, after the fill of ``fill_text``.
+    The dropped last slot belongs to values unseen in training, which so become zeros.
     """
     stages, parts = [], []
     if layout.numeric:
@@ -149,13 +150,14 @@ class Fitted:
     keys: tuple[str, ...]
     layout: Layout
     labels: tuple | None
+    common: dict[str, str | None]    # most frequent training value of each string feature
     prepared: PipelineModel
     model: object
-    predictions: DataFrame    # keys, features, actual, predicted
+    predictions: DataFrame           # keys, features, actual, predicted
 
     def score(self, df: DataFrame) -> DataFrame:
         """Predict any frame with the feature columns (stateless: also a stream)."""
-        ready = self.prepared.transform(_typed(df, self.layout))
+        ready = self.prepared.transform(_typed(df, self.layout, self.common))
         out = self.model.transform(ready)
         kept = [col(c) for c in df.columns]
         if self.labels is None:
@@ -199,7 +201,8 @@ def fit_model(
         label = (F.array_position(values, col(target_column)) - 1).cast("double")
     else:
         label = as_double(data, target_column)
-    typed = _typed(train.withColumn("__label", label), layout)
+    common = most_frequent(train, layout.text)
+    typed = _typed(train.withColumn("__label", label), layout, common)
     prepared = Pipeline(stages=preparation(layout)).fit(typed)
     ready = prepared.transform(typed).select("features", "__label").persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -209,13 +212,13 @@ def fit_model(
         model = learner.fit(ready)
     finally:
         ready.unpersist()
-    fitted = Fitted(problem_type, target_column, tuple(keys), layout, labels, prepared, model, None)
+    fitted = Fitted(problem_type, target_column, tuple(keys), layout, labels, common, prepared, model, None)
     scored = fitted.score(test)
     table = scored.select(
         *[col(k) for k in keys], *[col(c) for c in (*layout.numeric, *layout.text)],
         col(target_column).alias("actual"), "predicted",
     )
-    return Fitted(problem_type, target_column, tuple(keys), layout, labels, prepared, model, table)
+    return Fitted(problem_type, target_column, tuple(keys), layout, labels, common, prepared, model, table)
 
 
 # --- results ---------------------------------------------------------------------
@@ -323,7 +326,7 @@ def forest_importance(df: DataFrame, target_column: str, columns, trees: int, de
         data = label.fit(data).transform(data)
     else:
         data = data.withColumn("__label", as_double(data, target_column))
-    typed = _typed(data, layout)
+    typed = _typed(data, layout, {})
     prepared = Pipeline(stages=preparation(layout, one_hot=False)).fit(typed)
     ready = prepared.transform(typed).select("features", "__label").persist(StorageLevel.MEMORY_AND_DISK)
     try:

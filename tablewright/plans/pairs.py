@@ -53,5 +53,5 @@ def pair_correlations(
             r = F.try_divide(F.sum(unit[a] * unit[b]), F.count(F.lit(1)).cast("double"))
         else:
             r = _from_sums(both, unit[a], unit[b])
-        stats[(a, b)] = {"n": both, "r": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))}
+        stats[(a, b)] = {"n": both, "r": F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)}
     return tall_aggregate(df, stats, by, label=label, batch=2 * batch)
