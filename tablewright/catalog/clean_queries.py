@@ -381,3 +381,34 @@ def preprocess_report(spark, folder):
 @query("operations_summary")
 def operations_summary(spark, folder):
     return steps.operations_summary(events_gap(spark, folder), CHAIN)
+
+
+def _knn_sql(value: str) -> str:
+    return tidy_sql(
+        "SELECT * FROM (WITH c AS (SELECT c_custkey, c_nationkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal END AS c_acctbal"
+        " FROM customer), s AS (SELECT stddev_samp(c_custkey) AS a, stddev_samp(c_nationkey) AS b FROM c WHERE c_acctbal IS NOT NULL),"
+        " n AS (SELECT q.c_custkey, d.c_acctbal AS y, sqrt(pow((q.c_custkey - d.c_custkey) / a, 2) + pow((q.c_nationkey - d.c_nationkey) / b, 2)) AS dist,"
+        " d.c_custkey AS dk FROM c q, c d, s WHERE q.c_acctbal IS NULL AND d.c_acctbal IS NOT NULL),"
+        " t AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY dist, dk) AS r FROM n),"
+        f" f AS (SELECT c_custkey, {value} AS v FROM t WHERE r <= 5 GROUP BY c_custkey)"
+        " SELECT c.c_custkey, c_nationkey, coalesce(c_acctbal, v) AS c_acctbal FROM c LEFT JOIN f USING (c_custkey)) t", "c_acctbal"
+    )
+
+
+def _knn(spark, folder, weights):
+    balance = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_acctbal")).alias("c_acctbal")
+    customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey", balance)
+    return tidy(clean.fill_missing(
+        customers, ["c_acctbal"], "knn", knn_params={"n_neighbors": 5, "weights": weights},
+        features=["c_custkey", "c_nationkey"], keys=["c_custkey"],
+    ))
+
+
+@query("fill_knn", _knn_sql("avg(y)"))
+def fill_knn(spark, folder):
+    return _knn(spark, folder, "uniform")
+
+
+@query("fill_knn_distance", _knn_sql("sum(y / dist) / sum(1 / dist)"))
+def fill_knn_distance(spark, folder):
+    return _knn(spark, folder, "distance")
