@@ -58,9 +58,9 @@ def pick(df: DataFrame, columns: str | Iterable[str] | None, role: str | None =
     """Resolve a column selection: ``'all'``, ``['all']`` or ``None`` take every
     column of the wanted role; unknown and wrong-typed names are skipped."""
     roles = column_roles(df)
+    if columns is None or columns == "all" or list(columns) == ["all"] and "all" not in roles:
+        columns = df.columns
     wanted = [columns] if isinstance(columns, str) else columns
-    if wanted is None or list(wanted) == ["all"] and "all" not in roles:
-        wanted = df.columns
     return [c for c in dict.fromkeys(wanted) if c in roles and role in (None, roles[c])]
 
 

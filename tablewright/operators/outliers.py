@@ -38,8 +38,8 @@ def fit_outliers(
     strategy: str = "clip", **options,
 ) -> Step:
     """``clip`` to the bounds, ``remove`` rows outside them (missing values stay), or
-    ``winsorize`` to the nearest observed value inside. Bounds are literals, so the
-    ``remove`` filter reaches the Parquet scan."""
+    ``winsorize`` to the nearest observed value inside. Bounds are literals, so on
+    columns that cannot hold NaN the ``remove`` filter reaches the Parquet scan."""
     bounds = outlier_bounds(df, columns, method, threshold, **options)
     edges = bounds
     if strategy == "winsorize" and bounds:

@@ -121,7 +121,10 @@ def _learner(problem_type: str, model_type: str, classes: int, trees: int, round
     shared = {"featuresCol": "features", "labelCol": "__label"}
     if problem_type == REGRESSION:
         if model_type == "random_forest":
-            return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, **shared)
+            # every split sees all features, the usual choice for regression forests
+            return RandomForestRegressor(
+                numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all", **shared
+            )
         if model_type == "gradient_boosting":
             return GBTRegressor(maxIter=rounds, maxDepth=depth, seed=seed, **shared)
         if model_type == "linear_model":
