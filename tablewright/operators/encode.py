@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import as_double, col, present, pick, require, string_columns, type_of
+from ..plans.durable import durable
 from ..plans.lookup import BROADCAST_ROWS, join_lookup
 from ..plans.prefix import running_total
 from ..plans.step import Step
@@ -42,22 +43,25 @@ def fit_one_hot(df: DataFrame, columns="all", drop_first: bool = False, cap: int
 
 
 def _level_codes(df: DataFrame, name: str) -> DataFrame:
-    """``(level, n, code)``: codes follow the sorted order of the present values.
-    Many levels are numbered by distributed running totals, not in one task."""
+    """``(level, n, code)``: codes follow the sorted order of the present values. Up to
+    100,000 levels become literal rows; more are numbered by distributed running totals."""
     counts = (
         df.select(present(df, name).alias("level")).where("level is not null")
         .groupBy("level").agg(F.count(F.lit(1)).alias("n"))
     )
-    return running_total(counts, [], ["level"], F.lit(1), "code").select(
-        "level", "n", F.col("code").cast("int").alias("code")
-    )
+    rows = _few(counts)
+    if rows is None:
+        ranked = running_total(counts, [], ["level"], F.lit(1), "code")
+        return ranked.select("level", "n", F.col("code").cast("int").alias("code"))
+    schema = T.StructType(counts.schema.fields + [T.StructField("code", T.IntegerType())])
+    return df.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(sorted(rows))], schema)
 
 
-def _local(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A checked-small table as literal rows (so a chain of steps does not nest
-    plans); larger ones stay distributed."""
-    rows = table.limit(limit + 1).collect() if table.limit(limit + 1).count() <= limit else None
-    return table if rows is None else table.sparkSession.createDataFrame(rows, table.schema)
+def _few(table: DataFrame, limit: int = BROADCAST_ROWS) -> list | None:
+    """The rows of a table that has at most ``limit`` of them, else None. Held as literal
+    rows they keep the plan of a chain of steps from nesting."""
+    rows = table.limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
 
 
 def fit_codes(df: DataFrame, columns="all", orders: dict[str, Sequence] | None = None) -> Step:
@@ -77,7 +81,7 @@ def fit_codes(df: DataFrame, columns="all", orders: dict[str, Sequence] | None =
             rows = [(v, 0, i) for i, v in enumerate(orders[c])]
             tables[c] = df.sparkSession.createDataFrame(rows, schema)
         else:
-            tables[c] = _local(_level_codes(df, c))
+            tables[c] = _level_codes(df, c)
 
     def project(frame: DataFrame) -> DataFrame:
         order = frame.columns
@@ -98,12 +102,13 @@ def fit_target_mean(df: DataFrame, columns, target_column: str) -> Step:
     names = [c for c in pick(df, columns, None) if c != target_column]
     if columns in ("all", ["all"], None):
         names = [c for c in string_columns(df) if c != target_column]
-    tables = {
-        c: _local(
-            df.groupBy(present(df, c).alias("__level"))
-            .agg(F.avg(as_double(df, target_column)).alias("__mean"), F.count(F.lit(1)).alias("n"))
-        ) for c in names
-    }
+    tables = {}
+    for c in names:
+        means = df.groupBy(present(df, c).alias("__level")).agg(
+            F.avg(as_double(df, target_column)).alias("__mean"), F.count(F.lit(1)).alias("n")
+        )
+        rows = _few(means)
+        tables[c] = durable(means) if rows is None else df.sparkSession.createDataFrame(rows, means.schema)
 
     def project(frame: DataFrame) -> DataFrame:
         order = frame.columns

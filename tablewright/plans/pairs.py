@@ -9,21 +9,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import as_double
+from ..functions.columns import as_double, col
 from .tall import fit_row, tall_aggregate
 
 FLAT = 1e-12   # relative spread below which a column counts as constant
 
 
-def _from_sums(n: Column, a: Column, b: Column) -> Column:
-    """Pearson r from sums over rows where both sides are present."""
-    u, v = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    su, sv, suu, svv, suv = F.sum(u), F.sum(v), F.sum(u * u), F.sum(v * v), F.sum(u * v)
-    n = n.cast("double")
-    uu, vv, uv = suu - F.try_divide(su * su, n), svv - F.try_divide(sv * sv, n), suv - F.try_divide(su * sv, n)
-    return F.when((uu > FLAT * suu) & (vv > FLAT * svv), F.try_divide(uv, F.sqrt(uu * vv)))
+def _from_sums(a: str, b: str) -> str:
+    """Pearson r (SQL text) from sums over rows where both sides are present."""
+    u, v = f"if({b} IS NULL, NULL, {a})", f"if({a} IS NULL, NULL, {b})"
+    n, su, sv = f"count({u} + {v})", f"sum({u})", f"sum({v})"
+    suu, svv, suv = f"sum({u} * {u})", f"sum({v} * {v})", f"sum({u} * {v})"
+    uu, vv = f"({suu} - try_divide({su} * {su}, {n}))", f"({svv} - try_divide({sv} * {sv}, {n}))"
+    return (
+        f"if({uu} > {FLAT} * {suu} AND {vv} > {FLAT} * {svv},"
+        f" ({suv} - try_divide({su} * {sv}, {n})) / sqrt({uu} * {vv}), NULL)"
+    )
 
 
 def pair_correlations(
@@ -36,22 +39,26 @@ def pair_correlations(
         f"{k}{i}": f(as_double(df, c))
         for i, c in enumerate(names) for k, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop))
     })
-    unit, full, flat = {}, {}, {}
+    unit, full, flat, scaled = {}, {}, {}, []
     for i, c in enumerate(names):
         mean, std = row[f"m{i}"] or 0.0, row[f"s{i}"] or 0.0
+        unit[c] = f"__u{i}"
         flat[c] = not std > FLAT * abs(mean)
         full[c] = row[f"n{i}"] == row["rows"]
-        unit[c] = (as_double(df, c) - F.lit(mean)) / F.lit(std if not flat[c] else 1.0)
+        scaled.append(((as_double(df, c) - F.lit(mean)) / F.lit(std if not flat[c] else 1.0)).alias(unit[c]))
+    # SQL text for the many sums: a wide table has thousands of pairs
     stats = {}
     for a, b in pairs:
-        both = F.count(F.lit(1)) if full[a] and full[b] else F.count_if(unit[a].isNotNull() & unit[b].isNotNull())
+        u, v = unit[a], unit[b]
+        both = "count(1)" if full[a] and full[b] else f"count({u} + {v})"
         if flat[a] or flat[b]:
-            r = F.any_value(F.lit(None).cast("double"))
+            r = "CAST(any_value(NULL) AS DOUBLE)"
         elif a == b and not by:
-            r = F.any_value(F.lit(1.0))
+            r = "any_value(1.0D)"
         elif full[a] and full[b] and not by:
-            r = F.try_divide(F.sum(unit[a] * unit[b]), F.count(F.lit(1)).cast("double"))
+            r = f"try_divide(sum({u} * {v}), count(1))"
         else:
-            r = _from_sums(both, unit[a], unit[b])
-        stats[(a, b)] = {"n": both, "r": F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)}
+            r = _from_sums(u, v)
+        stats[(a, b)] = {"n": F.expr(both), "r": F.expr(f"if({r} IS NULL, NULL, greatest(-1.0D, least(1.0D, {r})))")}
+    df = df.select(*[col(b) for b in by], *scaled)
     return tall_aggregate(df, stats, by, label=label, batch=2 * batch)

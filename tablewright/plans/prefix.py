@@ -35,14 +35,15 @@ def _across(keys: Sequence[str], descending: bool) -> W:
 
 def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column, name: str,
-    pieces: int | None = None, small: int = SMALL,
+    pieces: int | None = None, small: int = SMALL, known_small: bool = False,
 ) -> DataFrame:
     """Add ``name``: total weight of all earlier rows of the same key.
 
     ``(keys, order)`` must be unique, so that range partitions are even. Up to
-    ``small`` rows in all, one window per key is within any task's reach.
+    ``small`` rows in all (``known_small`` saves counting them), one window per key is
+    within any task's reach.
     """
-    if df.count() <= small:
+    if known_small or df.count() <= small:
         w = W.partitionBy(*[col(k) for k in keys]).orderBy(*[col(o) for o in order])
         earlier = F.sum(weight).over(w.rowsBetween(W.unboundedPreceding, -1))
         return df.withColumn(name, F.coalesce(earlier, F.lit(0)))

@@ -6,7 +6,7 @@ which neither scales nor performs. For whole-table quantiles we narrow down inst
 1. a pilot (a random sample inside the current bracket) proposes a narrow value
    range around each wanted rank;
 2. one scan counts the rows below and inside each range, which proves or widens it;
-3. once few rows are left, ``percentile`` runs on those rows only.
+3. once few rows are left, their distinct values are counted and ranked.
 
 The sample only chooses where to look; the answer rests on counts over all rows.
 Quantiles per group use value counts and distributed running totals.
@@ -17,18 +17,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import as_double, col
 from .prefix import running_total
 from .tall import fit_row
 
 SMALL = 50_000          # rows ``percentile`` may take at once
-PILOT = (20_000, 20_000_000)
-
-
-def _interpolated(c: Column, p: float) -> Column:
-    return F.percentile(c, F.lit(p))
+PILOT = (50_000, 20_000_000)   # least and most rows of a pilot
 
 
 def exact_quantiles(
@@ -48,6 +44,14 @@ def exact_quantiles(
     return _narrow(data, columns, probs, rows, small)
 
 
+def _number(x: float) -> str:
+    return f"{x!r}D" if math.isfinite(x) else f"CAST('{x}' AS DOUBLE)"
+
+
+def _fit_text(df: DataFrame, aggregates: dict[str, str]) -> dict:
+    return df.selectExpr(*[f"{e} AS `{n}`" for n, e in aggregates.items()]).first().asDict()
+
+
 class _Target:
     """One wanted quantile: its column, probability and proven value bracket."""
 
@@ -60,15 +64,17 @@ class _Target:
     def rank(self) -> float:
         return self.prob * (self.n - 1)
 
-    def within(self, low: float, high: float) -> Column:
-        c = F.col(self.column)
-        e = c.isNotNull()
+    # SQL text, because a wide table makes hundreds of these conditions
+    def within(self, low: float, high: float) -> str:
+        parts = [f"{self.column} IS NOT NULL"]
         if low > -math.inf:
-            e = e & (c >= low)
-        return e & (c <= high) if high < math.inf else e
+            parts.append(f"{self.column} >= {_number(low)}")
+        if high < math.inf:
+            parts.append(f"{self.column} <= {_number(high)}")
+        return "(" + " AND ".join(parts) + ")"
 
-    def under(self, low: float) -> Column:
-        return F.count_if(F.col(self.column) < low) if low > -math.inf else F.lit(0)
+    def under(self, low: float) -> str:
+        return f"count_if({self.column} < {_number(low)})" if low > -math.inf else "0L"
 
     def accept(self, low, high, below, inside) -> None:
         first, last = math.floor(self.rank), math.ceil(self.rank)
@@ -81,83 +87,98 @@ def _narrow(data, columns, probs, rows, small) -> dict[str, list[float | None]]:
         _Target(f"c{i}", f"{i}_{j}", float(p)) for i in range(len(columns)) for j, p in enumerate(probs)
     ]
     open_ = list(targets)
-    for attempt in range(12):
-        # pilot: where do the wanted ranks lie, roughly?
-        left = rows if attempt == 0 else max(t.inside for t in open_)
-        pilot = min(max(left // 50, PILOT[0]), PILOT[1])
-        sample = data if pilot >= rows else data.sample(min(1.0, 1.2 * pilot / left), 17 + attempt)
-        slack = 5 * 0.5 / math.sqrt(pilot) + 2e-4
-        wish = {}
-        for t in open_:
-            share = t.prob if t.n is None else (t.rank - t.below) / max(1, t.inside - 1)
-            c = F.when(t.within(t.low, t.high), F.col(t.column))
-            spots = [F.lit(max(0.0, share - slack)), F.lit(min(1.0, share + slack))]
-            wish[t.index] = F.percentile_approx(c, F.array(*spots), 10_000)
-        found = fit_row(sample, wish)
-        bounds = {
-            t.index: (
-                t.low if not found[t.index] or share_low(t, slack) else found[t.index][0],
-                t.high if not found[t.index] or share_high(t, slack) else found[t.index][1],
-            )
-            for t in open_
-        }
+    for attempt in range(8):
+        bounds = _propose(data, open_, rows, attempt)
         # proof: exact counts below and inside the proposed ranges
         checks = {}
         for t in open_:
             low, high = bounds[t.index]
             checks[f"b{t.index}"] = t.under(low)
-            checks[f"i{t.index}"] = F.count_if(t.within(low, high))
+            checks[f"i{t.index}"] = f"count_if({t.within(low, high)})"
             if t.n is None:
-                checks[f"n{t.column}"] = F.count(F.col(t.column))
-        seen = data.agg(*[e.alias(k) for k, e in checks.items()]).first().asDict()
+                checks[f"n{t.column}"] = f"count({t.column})"
+        seen = _fit_text(data, checks)
+        still = []
         for t in open_:
             if t.n is None:
                 t.n = t.inside = seen[f"n{t.column}"]
                 t.below = 0
             if t.n:
+                before = t.inside
                 t.accept(*bounds[t.index], seen[f"b{t.index}"], seen[f"i{t.index}"])
-        open_ = [t for t in open_ if t.n and t.inside > small and t.low < t.high]
+                # a range that hardly shrinks holds few, frequent values: counting settles it
+                if t.inside > small and t.low < t.high and t.inside < 0.5 * before:
+                    still.append(t)
+        open_ = still
         if not open_:
             break
-    last = {}
-    for t in targets:
-        if t.n and t.low < t.high and t.inside <= small:
-            share = 0.0 if t.inside == 1 else min(1.0, max(0.0, (t.rank - t.below) / (t.inside - 1)))
-            last[t.index] = _interpolated(F.when(t.within(t.low, t.high), F.col(t.column)), share)
-    values = fit_row(data, last)
-    for t in targets:
-        if not t.n:
-            values[t.index] = None
-        elif t.low == t.high:
-            values[t.index] = t.low
-        elif t.inside > small:
-            values[t.index] = _from_counts(data, t)
-    return {c: [values[f"{i}_{j}"] for j in range(len(probs))] for i, c in enumerate(columns)}
-
-
-def share_low(t: _Target, slack: float) -> bool:
-    share = t.prob if t.n is None else (t.rank - t.below) / max(1, t.inside - 1)
-    return share - slack <= 0.0
-
-
-def share_high(t: _Target, slack: float) -> bool:
-    share = t.prob if t.n is None else (t.rank - t.below) / max(1, t.inside - 1)
-    return share + slack >= 1.0
-
-
-def _from_counts(data: DataFrame, t: _Target) -> float:
-    """A bracket that would not shrink (heavy ties): rank its distinct values."""
-    counts = (
-        data.where(t.within(t.low, t.high)).groupBy(F.col(t.column).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranked = running_total(counts, [], ["v"], F.col("n"), "before")
-    first, last = math.floor(t.rank) - t.below, math.ceil(t.rank) - t.below
-    hit = fit_row(ranked, {
-        name: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("v")))
-        for name, k in (("a", first), ("b", last))
-    })
-    return hit["a"] + (hit["b"] - hit["a"]) * (t.rank - math.floor(t.rank))
+    return _read_off(data, columns, probs, targets)
+
+
+def _propose(data: DataFrame, open_: list[_Target], rows: int, attempt: int) -> dict[str, tuple[float, float]]:
+    """Value ranges that very likely hold the wanted ranks, from a sample."""
+    left = rows if attempt == 0 else max(t.inside for t in open_)
+    pilot = min(max(left // 50, PILOT[0]), PILOT[1])
+    sample = data if pilot >= left else data.sample(min(1.0, 1.2 * pilot / left), 17 + attempt)
+    slack = 2.5 / math.sqrt(pilot) + 2e-4
+    spots, wish = {}, {}
+    for t in open_:
+        share = t.prob if t.n is None else (t.rank - t.below) / max(1, t.inside - 1)
+        spots.setdefault((t.column, t.low, t.high), []).append((t, share - slack, share + slack))
+    groups = list(spots.values())
+    for i, group in enumerate(groups):
+        t = group[0][0]
+        shares = ", ".join(_number(min(1.0, max(0.0, s))) for _, a, b in group for s in (a, b))
+        c = f"if({t.within(t.low, t.high)}, {t.column}, NULL)"
+        wish[f"g{i}"] = f"percentile_approx({c}, array({shares}), 10000)"
+    found = _fit_text(sample, wish)
+    bounds = {}
+    for i, group in enumerate(groups):
+        for j, (t, a, b) in enumerate(group):
+            got = found[f"g{i}"]
+            bounds[t.index] = (
+                got[2 * j] if got and a > 0 else t.low, got[2 * j + 1] if got and b < 1 else t.high,
+            )
+    return bounds
+
+
+def _read_off(data, columns, probs, targets: list[_Target]) -> dict[str, list[float | None]]:
+    """The values at the wanted ranks. Rows inside the proven ranges are counted per
+    distinct value, so frequent values weigh nothing, and ranked by running totals."""
+    values: dict[str, float | None] = {t.index: t.low for t in targets if t.n and t.low == t.high}
+    rest = [t for t in targets if t.n and t.low < t.high]
+    if rest:
+        # one (column, value) row per row and column, whichever ranges of it are hit
+        hits: dict[str, list[str]] = {}
+        for t in rest:
+            hits.setdefault(t.column, []).append(t.within(t.low, t.high))
+        rows = ", ".join(
+            f"if({' OR '.join(e)}, named_struct('c', '{c}', 'v', {c}), NULL)" for c, e in hits.items()
+        )
+        counts = (
+            data.selectExpr(f"inline(array({rows}))").where("c IS NOT NULL")
+            .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+        )
+        targets_of = ", ".join(
+            f"if(c = '{t.column}' AND v >= {_number(t.low)} AND v <= {_number(t.high)}, '{t.index}', NULL)" for t in rest
+        )
+        counts = counts.selectExpr(f"explode(array({targets_of})) AS target", "v", "n").where("target IS NOT NULL")
+        few = max(t.inside for t in rest) <= SMALL
+        if not few:
+            counts = counts.persist()    # counted, then ranked
+        ranked = running_total(counts, ["target"], ["v"], F.col("n"), "before", known_small=few)
+        wanted = ", ".join(
+            f"'{t.index}', array({math.floor(t.rank) - t.below}L, {math.ceil(t.rank) - t.below}L)"
+            for t in rest
+        )
+        held = [f"before <= map({wanted})[target][{i}] AND map({wanted})[target][{i}] < before + n" for i in (0, 1)]
+        found = ranked.groupBy("target").agg(F.expr(f"max(if({held[0]}, v, NULL)) a"), F.expr(f"max(if({held[1]}, v, NULL)) b"))
+        ends = {r["target"]: (r["a"], r["b"]) for r in found.collect()}
+        counts.unpersist()
+        for t in rest:
+            a, b = ends[t.index]
+            values[t.index] = a + (b - a) * (t.rank - math.floor(t.rank))
+    return {c: [values.get(f"{i}_{j}") for j in range(len(probs))] for i, c in enumerate(columns)}
 
 
 def grouped_quantiles(
