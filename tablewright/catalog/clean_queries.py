@@ -378,7 +378,14 @@ def preprocess_report(spark, folder):
     return tidy(steps.preprocess_report(before, after), 4)
 
 
-@query("operations_summary")
+_SHAPES = (4, 3, 3, 3, 3, 3, 4)   # columns before the chain and after each step
+
+
+@query("operations_summary", union_all(
+    f"SELECT {i + 1}::INT AS step, '{step['type']}' AS operation, 'ok' AS status, count(*) AS rows_before,"
+    f" {_SHAPES[i]} AS columns_before, count(*) AS rows_after, {_SHAPES[i + 1]} AS columns_after FROM events"
+    for i, step in enumerate(CHAIN)
+))
 def operations_summary(spark, folder):
     return steps.operations_summary(events_gap(spark, folder), CHAIN)
 

@@ -104,6 +104,22 @@ def linear_regression(spark, folder):
     return _orders_model(spark, folder, "linear_model").metrics()
 
 
+_PART = "(SELECT p_size::double AS x, p_retailprice AS y, substr(md5('42:' || p_partkey::varchar), 1, 4) < '3333' AS test FROM part)"
+
+
+@query("linear_regression_one_feature", tidy_sql(
+    "SELECT n, mse, sqrt(mse) AS rmse, 1 - mse / v AS r2 FROM (SELECT count(*) AS n, avg(pow(y - (b + a * x), 2)) AS mse, var_pop(y) AS v"
+    f" FROM {_PART} t, (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM {_PART} u WHERE NOT test) m WHERE test) t",
+    "mse", "rmse", "r2", digits=4
+))
+def linear_regression_one_feature(spark, folder):
+    """Split, preparation, model and metrics from end to end; scaling cancels out."""
+    fitted = predict.fit_model(
+        table(spark, folder, "part"), "p_retailprice", ["p_partkey"], ["p_size"], "regression", "linear_model"
+    )
+    return tidy(fitted.metrics(), 4)
+
+
 @query("forest_classification")
 def forest_classification(spark, folder):
     return _quality_model(spark, folder, "random_forest", trees=5).metrics()

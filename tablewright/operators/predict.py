@@ -24,6 +24,7 @@ from .diagnose import CLASS_LIMIT
 # Usual share of test rows, seed, forest size and boosting rounds.
 TEST_SIZE, SEED, TREES, ROUNDS = 0.2, 42, 100, 100
 REGRESSION, CLASSIFICATION = "regression", "classification"
+MAX_FEATURE_LEVELS = 10_000   # string levels an indexer may hold on the driver
 
 
 def complete_cases(df: DataFrame, target_column: str, columns="all", keys: Sequence[str] = ()) -> DataFrame:
@@ -107,6 +108,16 @@ def preparation(layout: Layout, one_hot: bool = True) -> list:
     return stages
 
 
+def _check_levels(df: DataFrame, names: Sequence[str]) -> None:
+    """String features become one slot per level, so their number must stay bounded."""
+    if not names:
+        return
+    row = df.agg(*[F.approx_count_distinct(present(df, c)).alias(c) for c in names]).first()
+    wide = [c for c in names if row[c] > MAX_FEATURE_LEVELS]
+    if wide:
+        raise ValueError(f"too many distinct values to use as features (encode them first): {', '.join(wide)}")
+
+
 def _slots(prepared: PipelineModel, layout: Layout, one_hot: bool = True) -> list[str]:
     """Source column of every slot of the feature vector."""
     out = list(layout.numeric)
@@ -193,6 +204,7 @@ def fit_model(
     data = complete_cases(df, target_column, columns, keys)
     layout = _layout(data, [c for c in data.columns if c != target_column and c not in keys])
     require_some([*layout.numeric, *layout.text], "feature columns")
+    _check_levels(data, layout.text)
     train, test = split(data, keys, test_size, seed)
     labels = None
     if problem_type == CLASSIFICATION:
@@ -318,6 +330,7 @@ def forest_importance(df: DataFrame, target_column: str, columns, trees: int, de
     data = complete_cases(df, target_column, columns)
     layout = _layout(data, [c for c in data.columns if c != target_column])
     require_some([*layout.numeric, *layout.text], "feature columns")
+    _check_levels(data, layout.text)
     text = column_roles(data)[target_column] != NUMERIC
     kinds = data.agg(F.approx_count_distinct(present(data, target_column))).first()[0]
     if not text and kinds < 2 * CLASS_LIMIT:      # close to the limit: count exactly

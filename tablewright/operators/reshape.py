@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import as_double, col, is_missing, numeric_columns, pick, present, require
+from ..functions.columns import as_double, col, present, require
+from ..plans.lookup import BROADCAST_ROWS
 from ..plans.quantiles import grouped_quantiles
 from .encode import MAX_LEVELS, distinct_levels
 
@@ -90,11 +91,16 @@ def groupby(df: DataFrame, by: Sequence[str], aggregates: Mapping[str, str | Seq
 
 def merge(
     df: DataFrame, other: DataFrame, on: str | Sequence[str] | None = None, how: str = "inner",
-    suffixes: tuple[str, str] = ("_x", "_y"),
+    suffixes: tuple[str, str] = ("_x", "_y"), broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join on equal columns; other shared names get the suffixes. Spark picks broadcast
-    or sort-merge by size, and splits skewed partitions at run time."""
-    kinds = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "cross": "cross"}
+    """Join on equal columns; other shared names get the suffixes.
+
+    A side of at most ``broadcast_rows`` rows (counted) is broadcast where the join kind
+    allows. Otherwise outer joins are put together from an inner join, whose skewed
+    partitions Spark splits on both sides at run time, and anti joins against distinct
+    keys: a single outer join could not split a key that is frequent on its inner side.
+    """
+    kinds = ("inner", "left", "right", "outer", "cross")
     if how not in kinds:
         raise ValueError(f"unknown join: {how}")
     keys = [] if how == "cross" else [on] if isinstance(on, str) else list(on or [])
@@ -105,4 +111,20 @@ def merge(
     shared = [c for c in df.columns if c in other.columns and c not in keys]
     left = df.withColumnsRenamed({c: c + suffixes[0] for c in shared})
     right = other.withColumnsRenamed({c: c + suffixes[1] for c in shared})
-    return left.crossJoin(right) if how == "cross" else left.join(right, keys, kinds[how])
+    if how == "cross":
+        return left.crossJoin(right)
+
+    def small(side: DataFrame) -> bool:
+        return side.limit(broadcast_rows + 1).count() <= broadcast_rows
+
+    if how in ("inner", "left") and small(right):
+        return left.join(F.broadcast(right), keys, how)
+    if how in ("inner", "right") and small(left):
+        return F.broadcast(left).join(right, keys, how)
+    both = left.join(right, keys, "inner")
+    out = both
+    if how in ("left", "outer"):
+        out = out.unionByName(left.join(right.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
+    if how in ("right", "outer"):
+        out = out.unionByName(right.join(left.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
+    return out

@@ -39,6 +39,8 @@ def read_table(
         raise ValueError(f"unsupported file format: {fmt}")
     paths = [path] if isinstance(path, str) else list(path)
     if fmt == "excel":
+        if any(p.lower().endswith(".xls") for p in paths):
+            raise ValueError("legacy .xls workbooks are not supported; save them as .xlsx")
         if schema is None:
             raise ValueError("reading workbooks needs a schema")
         return read_workbooks(spark, paths, schema, **options)

@@ -126,3 +126,16 @@ def test_reshape(spark, gaps):
     assert both.columns == ["id", "g", "x_x", "k", "x_y"] and both.count() == 6
     with pytest.raises(ValueError):
         reshape.merge(gaps, other, None, "inner")
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_merge_ways_agree(spark, how):
+    """Broadcast, and the composition for two large sides, against a plain join."""
+    left = spark.createDataFrame([(i % 5 if i % 7 else None, i, "l") for i in range(40)], "k int, a int, t string")
+    right = spark.createDataFrame([(i % 9 if i % 4 else None, -i, "r") for i in range(30)], "k int, b int, t string")
+    plain = left.withColumnRenamed("t", "t_x").join(right.withColumnRenamed("t", "t_y"), "k", "full" if how == "outer" else how)
+    want = sorted(map(str, (tuple(r) for r in plain.collect())))
+    for limit in (0, 1000):
+        got = reshape.merge(left, right, "k", how, broadcast_rows=limit)
+        assert got.columns == plain.columns
+        assert sorted(map(str, (tuple(r) for r in got.collect()))) == want
