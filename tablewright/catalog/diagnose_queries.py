@@ -127,6 +127,37 @@ def association_ranking(spark, folder):
     return tidy(diagnose.rank_by_association(found).drop("p"))
 
 
+PART = ("p_size", "p_partkey")
+
+# Two-sided p of Pearson's r for an even number of degrees of freedom (n is even in the
+# given table): the finite series of Student's t with sin = |r| and cos^2 = 1 - r^2.
+_PEARSON_P = (
+    "SELECT feature, any_value(r) AS r, greatest(0, 1 - any_value(abs(r)) * sum(exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi())"
+    " * pow(1 - r * r, k))) AS p FROM (" + union_all(
+        f"SELECT '{c}' AS feature, corr({c}, p_retailprice) AS r FROM part" for c in PART
+    ) + ") f, (SELECT unnest(range(0, (SELECT count(*) FROM part) // 2 - 1)) AS k) s GROUP BY feature"
+)
+
+
+@query("pearson_p_values", tidy_sql(f"SELECT feature, r, p, p < 0.05 AS significant FROM ({_PEARSON_P}) t", "r", "p"))
+def pearson_p_values(spark, folder):
+    found = diagnose.pearson_with_target(table(spark, folder, "part"), "p_retailprice", PART)
+    return tidy(diagnose.flag_significant(found).drop("n"))
+
+
+# With three classes the tail of F(2, d) is (1 + 2 f / d)^(-d / 2).
+_ANOVA_P = (
+    "SELECT feature, f, pow(1 + 2 * f / (n - 3), -(n - 3) / 2.0) AS p FROM ("
+    + _anova_sql(LINE, "l_returnflag", "lineitem").replace("round(\"f\"::double, 5) + 0.0", "\"f\"") + ") t"
+)
+
+
+@query("anova_p_values", tidy_sql(_ANOVA_P, "f", "p"))
+def anova_p_values(spark, folder):
+    found = diagnose.anova_with_target(table(spark, folder, "lineitem"), "l_returnflag", LINE)
+    return tidy(found.select("feature", "f", "p"))
+
+
 @query("association_p_values")
 def association_p_values(spark, folder):
     line = table(spark, folder, "lineitem")
@@ -135,10 +166,13 @@ def association_p_values(spark, folder):
     return diagnose.flag_significant(numeric.unionByName(classes))
 
 
-@query("significance")
+@query("significance", tidy_sql(
+    "SELECT count(*) AS features, count(*) FILTER (p < 0.05) AS significant, arg_max(feature, abs(r)) AS strongest,"
+    f" arg_max(p, abs(r)) AS strongest_p FROM ({_PEARSON_P}) t", "strongest_p"
+))
 def significance(spark, folder):
-    found = diagnose.association_with_target(table(spark, folder, "lineitem"), "l_extendedprice", LINE)
-    return diagnose.significance(found)
+    found = diagnose.association_with_target(table(spark, folder, "part"), "p_retailprice", PART)
+    return tidy(diagnose.significance(found))
 
 
 @query("feature_importance")
