@@ -9,16 +9,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
-from pyspark.ml.feature import (
-    Imputer, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler,
-)
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.columns import CATEGORICAL, NUMERIC, as_double, col, column_roles, pick, present, require, require_some
 from ..functions.hashing import key_digest
-from .clean import most_frequent
+from ..plans.tall import fit_row
 from .diagnose import CLASS_LIMIT
 
 # Usual share of test rows, seed, forest size and boosting rounds.
@@ -46,6 +44,8 @@ def is_test_row(keys: Sequence[str], test_size: float = TEST_SIZE, seed: int = S
 def split(df: DataFrame, keys: Sequence[str], test_size: float = TEST_SIZE, seed: int = SEED):
     """``(train, test)`` frames."""
     require(df, keys)
+    if not 0 < test_size < 1:
+        raise ValueError("test_size must lie between 0 and 1")
     test = is_test_row(keys, test_size, seed)
     return df.where(~test), df.where(test)
 
@@ -54,78 +54,79 @@ def split(df: DataFrame, keys: Sequence[str], test_size: float = TEST_SIZE, seed
 
 @dataclass(frozen=True)
 class Layout:
-    """Which features feed the vector, in slot order."""
-
-    numeric: tuple[str, ...]
-    text: tuple[str, ...]
-
-
-def _layout(df: DataFrame, names: Sequence[str]) -> Layout:
-    roles = column_roles(df)
+    """How features become a vector, learnt from training rows: per number its median
+    (for missing values), mean and deviation; per string its sorted levels and the most
+    frequent one."""
+
+    numeric: dict[str, tuple[float, float, float]]
+    text: dict[str, tuple[tuple[str, ...], str]]
+
+
+def learn_layout(train: DataFrame, names: Sequence[str]) -> Layout:
+    """Two scans whatever the number of features: one aggregation for all numbers, and
+    one count of ``(column, level)`` for all strings, which must stay few enough to
+    become vector slots."""
+    roles = column_roles(train)
+    numeric = [c for c in names if roles[c] == NUMERIC]
+    text = [c for c in names if roles[c] == CATEGORICAL]
+    require_some([*numeric, *text], "feature columns")
+    row = fit_row(train, {"rows": F.count(F.lit(1))} | {
+        f"{k}{i}": e for i, c in enumerate(numeric) for k, e in (
+            ("q", F.percentile_approx(as_double(train, c), 0.5, 10_000)), ("m", F.avg(as_double(train, c))),
+            ("s", F.stddev_samp(as_double(train, c))))
+    } | {f"d{i}": F.approx_count_distinct(present(train, c)) for i, c in enumerate(text)})
+    if not row["rows"]:
+        raise ValueError("no training rows left after dropping missing values")
+    wide = [c for i, c in enumerate(text) if row[f"d{i}"] > MAX_FEATURE_LEVELS]
+    if wide:
+        raise ValueError(f"too many distinct values to use as features (encode them first): {', '.join(wide)}")
+    levels: dict[str, list] = {c: [] for c in text}
+    if text:
+        counts = (
+            train.select(*[present(train, c).alias(c) for c in text]).unpivot([], [col(c) for c in text], "column", "level")
+            .where("level is not null").groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"))
+        )
+        for r in counts.collect():
+            levels[r["column"]].append((r["level"], r["n"]))
     return Layout(
-        tuple(c for c in names if roles[c] == NUMERIC), tuple(c for c in names if roles[c] == CATEGORICAL)
+        {c: (row[f"q{i}"], row[f"m{i}"], row[f"s{i}"] or 1.0) for i, c in enumerate(numeric)},
+        {c: (tuple(sorted(v for v, _ in found)), min(found, key=lambda x: (-x[1], x[0]))[0]) for c, found in levels.items()},
     )
 
 
-def _typed(df: DataFrame, layout: Layout, common: dict[str, str | None]) -> DataFrame:
-    """Features under fixed inner names: numbers as doubles, missing strings replaced
-    by the most frequent training value."""
-    return df.withColumns(
-        {f"__x{i}": as_double(df, c) for i, c in enumerate(layout.numeric)}
-        | {f"__s{i}": F.coalesce(present(df, c), F.lit(common.get(c))) for i, c in enumerate(layout.text)}
-    )
+def _typed(df: DataFrame, layout: Layout) -> DataFrame:
+    """Features under fixed inner names: filled and standardised numbers, filled strings."""
+    out = {}
+    for i, (c, (median, mean, std)) in enumerate(layout.numeric.items()):
+        out[f"__x{i}"] = (F.coalesce(as_double(df, c), F.lit(median)) - F.lit(mean)) / F.lit(std)
+    for i, (c, (_, common)) in enumerate(layout.text.items()):
+        out[f"__s{i}"] = F.coalesce(present(df, c), F.lit(common))
+    return df.withColumns(out)
 
 
-def preparation(layout: Layout, one_hot: bool = True) -> list:
-    """Stages from ``__x…`` and ``__s…`` to ``features``: median fill and standardising
-    for numbers; for strings sorted codes and, for linear use, one slot per level.
-
-    The dropped last slot belongs to values unseen in training, which so become zeros.
-    """
-    stages, parts = [], []
-    if layout.numeric:
-        raw = [f"__x{i}" for i in range(len(layout.numeric))]
-        filled = [f"{c}f" for c in raw]
-        stages += [
-            Imputer(strategy="median", inputCols=raw, outputCols=filled),
-            VectorAssembler(inputCols=filled, outputCol="__numbers"),
-            StandardScaler(inputCol="__numbers", outputCol="__scaled", withMean=True, withStd=True),
-        ]
-        parts.append("__scaled")
+def preparation(typed: DataFrame, layout: Layout, one_hot: bool = True) -> PipelineModel:
+    """From ``_typed`` columns to ``features``: strings become sorted codes and, unless
+    switched off, one slot per level. The dropped last slot belongs to values unseen in
+    training, which so become zeros. Nothing is fitted on data here."""
+    stages, parts = [], [f"__x{i}" for i in range(len(layout.numeric))]
     if layout.text:
         raw = [f"__s{i}" for i in range(len(layout.text))]
-        codes = [f"{c}c" for c in raw]
-        stages.append(StringIndexer(
-            inputCols=raw, outputCols=codes, handleInvalid="keep", stringOrderType="alphabetAsc"
-        ))
+        codes, slots = [f"{c}c" for c in raw], [f"{c}o" for c in raw]
+        stages += [
+            StringIndexerModel.from_labels(list(levels), r, code, handleInvalid="keep")
+            for r, code, (levels, _) in zip(raw, codes, layout.text.values())
+        ]
         if one_hot:
-            slots = [f"{c}o" for c in raw]
             stages.append(OneHotEncoder(inputCols=codes, outputCols=slots, dropLast=True))
-            parts += slots
-        else:
-            parts += codes
-    stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
-    return stages
+        parts += slots if one_hot else codes
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=parts, outputCol="features")]).fit(typed)
 
 
-def _check_levels(df: DataFrame, names: Sequence[str]) -> None:
-    """String features become one slot per level, so their number must stay bounded."""
-    if not names:
-        return
-    row = df.agg(*[F.approx_count_distinct(present(df, c)).alias(c) for c in names]).first()
-    wide = [c for c in names if row[c] > MAX_FEATURE_LEVELS]
-    if wide:
-        raise ValueError(f"too many distinct values to use as features (encode them first): {', '.join(wide)}")
-
-
-def _slots(prepared: PipelineModel, layout: Layout, one_hot: bool = True) -> list[str]:
+def _slots(layout: Layout, one_hot: bool = True) -> list[str]:
     """Source column of every slot of the feature vector."""
-    out = list(layout.numeric)
-    for stage in prepared.stages:
-        if isinstance(stage, StringIndexerModel) and len(stage.getInputCols()) == len(layout.text):
-            for c, labels in zip(layout.text, stage.labelsArray):
-                out += [c] * (len(labels) if one_hot else 1)
-    return out
+    return list(layout.numeric) + [
+        c for c, (levels, _) in layout.text.items() for _ in (levels if one_hot else (1,))
+    ]
 
 
 def _learner(problem_type: str, model_type: str, classes: int, trees: int, rounds: int, depth: int, seed: int):
@@ -164,14 +165,13 @@ class Fitted:
     keys: tuple[str, ...]
     layout: Layout
     labels: tuple | None
-    common: dict[str, str | None]    # most frequent training value of each string feature
     prepared: PipelineModel
     model: object
-    predictions: DataFrame           # keys, features, actual, predicted
+    predictions: DataFrame    # keys, features, actual, predicted
 
     def score(self, df: DataFrame) -> DataFrame:
         """Predict any frame with the feature columns (stateless: also a stream)."""
-        ready = self.prepared.transform(_typed(df, self.layout, self.common))
+        ready = self.prepared.transform(_typed(df, self.layout))
         out = self.model.transform(ready)
         kept = [col(c) for c in df.columns]
         if self.labels is None:
@@ -202,10 +202,9 @@ def fit_model(
     prepared training rows are persisted only while the model is fitted.
     """
     data = complete_cases(df, target_column, columns, keys)
-    layout = _layout(data, [c for c in data.columns if c != target_column and c not in keys])
-    require_some([*layout.numeric, *layout.text], "feature columns")
-    _check_levels(data, layout.text)
+    features = [c for c in data.columns if c != target_column and c not in keys]
     train, test = split(data, keys, test_size, seed)
+    layout = learn_layout(train, features)
     labels = None
     if problem_type == CLASSIFICATION:
         found = train.select(present(data, target_column).alias("v")).where("v is not null").distinct()
@@ -216,24 +215,21 @@ def fit_model(
         label = (F.array_position(values, col(target_column)) - 1).cast("double")
     else:
         label = as_double(data, target_column)
-    common = most_frequent(train, layout.text)
-    typed = _typed(train.withColumn("__label", label), layout, common)
-    prepared = Pipeline(stages=preparation(layout)).fit(typed)
+    typed = _typed(train.withColumn("__label", label), layout)
+    prepared = preparation(typed, layout)
     ready = prepared.transform(typed).select("features", "__label").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if ready.limit(1).count() == 0:
-            raise ValueError("no training rows left after dropping missing values")
         learner = _learner(problem_type, model_type, len(labels or ()), trees, rounds, depth, seed)
         model = learner.fit(ready)
     finally:
         ready.unpersist()
-    fitted = Fitted(problem_type, target_column, tuple(keys), layout, labels, common, prepared, model, None)
+    fitted = Fitted(problem_type, target_column, tuple(keys), layout, labels, prepared, model, None)
     scored = fitted.score(test)
     table = scored.select(
         *[col(k) for k in keys], *[col(c) for c in (*layout.numeric, *layout.text)],
         col(target_column).alias("actual"), "predicted",
     )
-    return Fitted(problem_type, target_column, tuple(keys), layout, labels, common, prepared, model, table)
+    return Fitted(problem_type, target_column, tuple(keys), layout, labels, prepared, model, table)
 
 
 # --- results ---------------------------------------------------------------------
@@ -295,7 +291,7 @@ def classification_metrics(
 def model_importance(fitted: Fitted) -> DataFrame:
     """``(feature, importance, place)``, slots of one-hot features added up. Trees give
     impurity importances, linear models absolute coefficients (averaged over classes)."""
-    slots = _slots(fitted.prepared, fitted.layout)
+    slots = _slots(fitted.layout)
     model = fitted.model
     models = getattr(model, "models", None) or [model]   # one-vs-rest: average
     weights = [0.0] * len(slots)
@@ -328,9 +324,7 @@ def sample_predictions(predictions: DataFrame, keys: Sequence[str], rows: int =
 def forest_importance(df: DataFrame, target_column: str, columns, trees: int, depth: int, seed: int) -> DataFrame:
     """Random-forest importance over all complete rows; strings enter as sorted codes."""
     data = complete_cases(df, target_column, columns)
-    layout = _layout(data, [c for c in data.columns if c != target_column])
-    require_some([*layout.numeric, *layout.text], "feature columns")
-    _check_levels(data, layout.text)
+    layout = learn_layout(data, [c for c in data.columns if c != target_column])
     text = column_roles(data)[target_column] != NUMERIC
     kinds = data.agg(F.approx_count_distinct(present(data, target_column))).first()[0]
     if not text and kinds < 2 * CLASS_LIMIT:      # close to the limit: count exactly
@@ -342,22 +336,19 @@ def forest_importance(df: DataFrame, target_column: str, columns, trees: int, de
         data = label.fit(data).transform(data)
     else:
         data = data.withColumn("__label", as_double(data, target_column))
-    typed = _typed(data, layout, {})
-    prepared = Pipeline(stages=preparation(layout, one_hot=False)).fit(typed)
+    typed = _typed(data, layout)
+    prepared = preparation(typed, layout, one_hot=False)
     ready = prepared.transform(typed).select("features", "__label").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         learner = _learner(
             CLASSIFICATION if classify else REGRESSION, "random_forest", 2, trees, 0, depth, seed
         )
         if layout.text:
-            levels = max(
-                len(labels) for s in prepared.stages if isinstance(s, StringIndexerModel) for labels in s.labelsArray
-            )
-            learner = learner.setMaxBins(max(32, levels + 1))
+            learner = learner.setMaxBins(max(32, 1 + max(len(levels) for levels, _ in layout.text.values())))
         model = learner.fit(ready)
     finally:
         ready.unpersist()
-    slots = _slots(prepared, layout, one_hot=False)
+    slots = _slots(layout, one_hot=False)
     return _ranked(df.sparkSession, slots, model.featureImportances.toArray())
 
 

@@ -98,6 +98,12 @@ def test_scoring_new_rows(spark, sales):
     assert all(v is not None for v in got) and got[0] > got[2]
 
 
+def test_features_with_different_level_counts(sales):
+    wide = sales.withColumn("t", F.concat(F.lit("t"), (F.col("id") % 11).cast("string")))
+    fitted = predict.fit_model(wide, "y", ["id"], ["t", "a", "s"], "regression", "linear_model")
+    assert fitted.metrics().first()["r2"] > 0.98 and fitted.importance().count() == 3
+
+
 def test_model_errors(sales):
     for bad in (dict(problem_type="other"), dict(model_type="other"), dict(columns=["nothing"])):
         with pytest.raises(ValueError):
