@@ -141,3 +141,13 @@ def sensitivity(spark, folder):
 @query("sensitivity_by", tidy_sql(_long(_SENS, _steps(_best(_BY)), "g AS l_returnflag, "), "optimal", "increase_effect", "decrease_effect", "sensitivity_score", digits=3))
 def sensitivity_by(spark, folder):
     return tidy(prescribe.sensitivity(_optimum(spark, folder, ["l_returnflag"])), 3)
+
+
+@query("user_scenarios", tidy_sql(
+    f"SELECT s.l_orderkey, s.l_linenumber, s.l_partkey, b0 + c1 * s.l_quantity + c2 * s.l_discount AS objective_value FROM lineitem s, ({_WHOLE}) f",
+    "objective_value", digits=3
+))
+def user_scenarios(spark, folder):
+    """Every row of the table as a scenario of its own."""
+    line = table(spark, folder, "lineitem")
+    return tidy(prescribe.score_scenarios(_fit(spark, folder), line, ["l_orderkey", "l_linenumber", "l_partkey"]), 3)

@@ -72,6 +72,12 @@ def string_columns(df: DataFrame, columns=None) -> list[str]:
     return pick(df, columns, CATEGORICAL)
 
 
+def flat_columns(df: DataFrame, columns=None) -> list[str]:
+    """Selected columns that hold single values; nested ones pass through analyses."""
+    nested = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
+    return [c for c in pick(df, columns) if not isinstance(type_of(df, c), nested)]
+
+
 def require(df: DataFrame, names: Sequence[str], what: str = "column") -> None:
     lost = [n for n in names if n not in df.columns]
     if lost:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import (
-    as_double, col, is_missing, numeric_columns, pick, present, require, type_of,
+    as_double, col, flat_columns, is_missing, numeric_columns, pick, present, require, type_of,
 )
 from ..plans.prefix import carried_value
 from ..plans.quantiles import exact_quantiles
@@ -49,11 +49,15 @@ def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None
     return {c: found.get(c) for c in columns}
 
 
-def _checked_literal(df: DataFrame, name: str, value) -> Column:
+def _checked_literal(df: DataFrame, name: str, value, skip: bool) -> Column | None:
+    """``value`` in the column's type. If it does not fit, the column is skipped when
+    all columns were asked for, else it is an error."""
     dtype = type_of(df, name)
     typed = F.lit(value).try_cast(dtype)
     probe = df.sparkSession.range(1).select(typed.isNotNull().alias("ok")).first()
     if not probe["ok"]:
+        if skip:
+            return None
         raise ValueError(f"cannot use {value!r} for column {name} of type {dtype.simpleString()}")
     return F.lit(value).cast(dtype)
 
@@ -71,12 +75,13 @@ def fit_fill(
         extra = {} if quantile_small is None else {"small": quantile_small}
         found = {c: q[0] for c, q in exact_quantiles(df, names, [0.5], **extra).items()}
     elif method == "mode":
-        names = pick(df, columns)
+        names = flat_columns(df, columns)
         found = most_frequent(df, names)
     elif method == "constant":
-        names = pick(df, columns)
+        every = columns in ("all", ["all"], None)
+        literals = {c: _checked_literal(df, c, value, every) for c in flat_columns(df, columns)}
+        names = [c for c, v in literals.items() if v is not None]
         found = {c: value for c in names}
-        literals = {c: _checked_literal(df, c, value) for c in names}
     else:
         raise ValueError(f"unknown fill method: {method}")
     types = {c: type_of(df, c) for c in names}

@@ -8,7 +8,7 @@ from itertools import combinations, combinations_with_replacement
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.columns import (
-    as_double, col, numeric_columns, pick, present, require, require_some, string_columns,
+    as_double, col, flat_columns, numeric_columns, pick, present, require, require_some, string_columns,
 )
 from ..functions.hashing import key_digest
 from ..functions.stats import corrected_kurtosis, corrected_skewness
@@ -58,8 +58,8 @@ def category_counts(df: DataFrame, column: str, top: int = 15) -> DataFrame:
 
 
 def unique_counts(df: DataFrame, columns="all", approximate: bool = False) -> DataFrame:
-    """``(column, distinct)`` over present values of any type."""
-    names = pick(df, columns)
+    """``(column, distinct)`` over present values of any type that is not nested."""
+    names = flat_columns(df, columns)
     require_some(names, "columns")
     count = F.approx_count_distinct if approximate else F.count_distinct
     return tall_aggregate(df, {c: {"distinct": count(present(df, c))} for c in names})

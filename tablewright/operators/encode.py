@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import as_double, col, present, pick, require, string_columns, type_of
 from ..plans.durable import durable
-from ..plans.lookup import BROADCAST_ROWS, join_lookup
+from ..plans.lookup import few_rows, join_lookup
 from ..plans.prefix import running_total
 from ..plans.step import Step
 
@@ -42,26 +42,16 @@ def fit_one_hot(df: DataFrame, columns="all", drop_first: bool = False, cap: int
     return Step("one_hot", project, levels)
 
 
-def _level_codes(df: DataFrame, name: str) -> DataFrame:
-    """``(level, n, code)``: codes follow the sorted order of the present values. Up to
-    100,000 levels become literal rows; more are numbered by distributed running totals."""
+def _level_codes(df: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """``(level, n, code)`` and whether it is small. Codes follow the sorted order of the
+    present values; many levels are numbered by distributed running totals."""
     counts = (
         df.select(present(df, name).alias("level")).where("level is not null")
         .groupBy("level").agg(F.count(F.lit(1)).alias("n"))
     )
-    rows = _few(counts)
-    if rows is None:
-        ranked = running_total(counts, [], ["level"], F.lit(1), "code")
-        return ranked.select("level", "n", F.col("code").cast("int").alias("code"))
-    schema = T.StructType(counts.schema.fields + [T.StructField("code", T.IntegerType())])
-    return df.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(sorted(rows))], schema)
-
-
-def _few(table: DataFrame, limit: int = BROADCAST_ROWS) -> list | None:
-    """The rows of a table that has at most ``limit`` of them, else None. Held as literal
-    rows they keep the plan of a chain of steps from nesting."""
-    rows = table.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+    few = few_rows(counts)
+    ranked = running_total(few or durable(counts), [], ["level"], F.lit(1), "code", known_small=few is not None, small=0)
+    return ranked.select("level", "n", F.col("code").cast("int").alias("code")), few is not None
 
 
 def fit_codes(df: DataFrame, columns="all", orders: dict[str, Sequence] | None = None) -> Step:
@@ -79,7 +69,7 @@ def fit_codes(df: DataFrame, columns="all", orders: dict[str, Sequence] | None =
                 T.StructField("code", T.IntegerType()),
             ])
             rows = [(v, 0, i) for i, v in enumerate(orders[c])]
-            tables[c] = df.sparkSession.createDataFrame(rows, schema)
+            tables[c] = df.sparkSession.createDataFrame(rows, schema), True
         else:
             tables[c] = _level_codes(df, c)
 
@@ -87,8 +77,9 @@ def fit_codes(df: DataFrame, columns="all", orders: dict[str, Sequence] | None =
         order = frame.columns
         for c in pick(frame, names) if names else []:
             keyed = frame.withColumn("__level", present(frame, c)).drop(c)
-            table = tables[c].withColumnRenamed("level", "__level").withColumnRenamed("code", "__code")
-            coded = join_lookup(keyed, table, ["__level"], ["__code"], "n")
+            table, small = tables[c]
+            table = table.withColumnsRenamed({"level": "__level", "code": "__code"})
+            coded = join_lookup(keyed, table, ["__level"], ["__code"], "n", small=small)
             frame = coded.withColumn(c, F.coalesce(F.col("__code"), F.lit(-1))).select(*[col(x) for x in order])
         return frame
 
@@ -107,14 +98,14 @@ def fit_target_mean(df: DataFrame, columns, target_column: str) -> Step:
         means = df.groupBy(present(df, c).alias("__level")).agg(
             F.avg(as_double(df, target_column)).alias("__mean"), F.count(F.lit(1)).alias("n")
         )
-        rows = _few(means)
-        tables[c] = durable(means) if rows is None else df.sparkSession.createDataFrame(rows, means.schema)
+        few = few_rows(means)
+        tables[c] = (few or durable(means), few is not None)
 
     def project(frame: DataFrame) -> DataFrame:
         order = frame.columns
         for c in pick(frame, names) if names else []:
             keyed = frame.withColumn("__level", present(frame, c)).drop(c)
-            coded = join_lookup(keyed, tables[c], ["__level"], ["__mean"], "n")
+            coded = join_lookup(keyed, tables[c][0], ["__level"], ["__mean"], "n", small=tables[c][1])
             frame = coded.withColumn(c, F.col("__mean")).select(*[col(x) for x in order])
         return frame
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_double, col, numeric_columns, pick
-from ..plans.lookup import join_lookup
+from ..plans.durable import durable
+from ..plans.lookup import few_rows, join_lookup
 from ..plans.prefix import running_total
 from ..plans.quantiles import exact_quantiles
 from ..plans.step import Step
@@ -77,11 +78,12 @@ def scale_to_rank(df: DataFrame, columns="all") -> DataFrame:
         counts = (
             keyed.where("__v is not null").groupBy("__v").agg(F.count(F.lit(1)).alias("__n"))
         )
+        few = few_rows(counts)
+        counts = few or durable(counts)
         total = counts.agg(F.sum("__n")).first()[0] or 0
-        ranked = running_total(counts, [], ["__v"], F.col("__n"), "__before").select(
-            "__v", "__n", (F.col("__before") / F.lit(float(max(1, total - 1)))).alias("__rank")
-        )
-        df = join_lookup(keyed, ranked, ["__v"], ["__rank"], "__n").withColumn(c, F.col("__rank"))
+        ranked = running_total(counts, [], ["__v"], F.col("__n"), "__before", known_small=few is not None, small=0)
+        ranked = ranked.select("__v", "__n", (F.col("__before") / F.lit(float(max(1, total - 1)))).alias("__rank"))
+        df = join_lookup(keyed, ranked, ["__v"], ["__rank"], "__n", small=few is not None).withColumn(c, F.col("__rank"))
         df = df.select(*[col(x) for x in order])
     return df
 

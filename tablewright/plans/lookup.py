@@ -8,24 +8,35 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col
+from .durable import durable
 
 BROADCAST_ROWS = 100_000   # a lookup up to this many rows may be broadcast
 HOT_KEYS = 1_000           # most frequent keys handled by broadcast beyond that
 SALTS = 64
 
 
+def few_rows(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
+    """The table as literal rows if it has at most ``limit`` of them, else None. Literal
+    rows are computed once and keep the plan of a chain of steps from nesting."""
+    rows = table.limit(limit + 1).collect()
+    return table.sparkSession.createDataFrame(rows, table.schema) if len(rows) <= limit else None
+
+
 def join_lookup(
     df: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequence[str], weight: str,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS, small: bool | None = None,
 ) -> DataFrame:
     """Left-join ``values`` of ``table`` (one row per ``keys``, null keys included).
 
-    The table's row count decides: small tables are broadcast. For a larger one the
-    at most 1,000 keys with the largest ``weight`` are broadcast and everything else
-    goes through a shuffle join; rows of hot keys are salted there so that no task
-    receives a whole hot key.
+    The table's row count decides (``small`` states it where it is known): small tables
+    are broadcast. For a larger one the at most 1,000 keys with the largest ``weight``
+    are broadcast and everything else goes through a shuffle join; rows of hot keys are
+    salted there so that no task receives a whole hot key.
     """
-    small = table.limit(broadcast_rows + 1).count() <= broadcast_rows
+    if small is None:
+        literal = few_rows(table, broadcast_rows)
+        small = literal is not None
+        table = literal if small else durable(table)
     right = table.select(
         *[col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[col(v) for v in values],
         col(weight).alias("__weight"),

@@ -40,10 +40,10 @@ def running_total(
     """Add ``name``: total weight of all earlier rows of the same key.
 
     ``(keys, order)`` must be unique, so that range partitions are even. Up to
-    ``small`` rows in all (``known_small`` saves counting them), one window per key is
+    ``small`` rows in all (``known_small`` or 0 save counting them), one window per key is
     within any task's reach.
     """
-    if known_small or df.count() <= small:
+    if known_small or small and df.count() <= small:
         w = W.partitionBy(*[col(k) for k in keys]).orderBy(*[col(o) for o in order])
         earlier = F.sum(weight).over(w.rowsBetween(W.unboundedPreceding, -1))
         return df.withColumn(name, F.coalesce(earlier, F.lit(0)))

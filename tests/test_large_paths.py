@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import clean, neighbours, scale
+from tablewright.operators import clean, encode, neighbours, scale
 from tablewright.plans.lookup import join_lookup
 from tablewright.plans.prefix import carried_value, running_total
 from tablewright.plans.quantiles import exact_quantiles, grouped_quantiles
@@ -97,8 +97,7 @@ def test_lookup_with_hot_and_null_keys(spark, skewed, limit, monkeypatch):
 
 
 def test_rank_scaling_by_pieces(skewed, monkeypatch):
-    monkeypatch.setattr("tablewright.plans.prefix.SMALL", 0)
-    monkeypatch.setattr("tablewright.operators.scale.running_total", lambda *a: running_total(*a, small=0))
+    monkeypatch.setattr("tablewright.operators.scale.few_rows", lambda t: None)
     got = {r["id"]: r["v"] for r in scale.scale_numeric(skewed, ["v"], "quantile").collect()}
     values = np.array([v for _, _, v in VALUES])
     order = np.sort(values)
@@ -106,6 +105,17 @@ def test_rank_scaling_by_pieces(skewed, monkeypatch):
         assert got[i] == pytest.approx(np.searchsorted(order, values[i]) / (N - 1))
 
 
+def test_codes_and_means_by_pieces(skewed, monkeypatch):
+    monkeypatch.setattr("tablewright.operators.encode.few_rows", lambda t: None)
+    codes = {r["id"]: r["g"] for r in encode.encode_categorical(skewed, ["g"], "label").collect()}
+    order = sorted({g for _, g, _ in VALUES})
+    assert all(codes[i] == order.index(g) for i, g, _ in VALUES)
+    means = {r["id"]: r["g"] for r in encode.encode_categorical(skewed, ["g"], "target", target_column="v").collect()}
+    for g in order:
+        want = np.mean([v for _, k, v in VALUES if k == g])
+        assert all(means[i] == pytest.approx(want) for i, k, _ in VALUES if k == g)
+
+
 @pytest.mark.parametrize("leaf_rows", [25, 100_000])
 @pytest.mark.parametrize("weights", ["uniform", "distance"])
 def test_nearest_neighbours(spark, leaf_rows, weights, monkeypatch):

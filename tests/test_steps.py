@@ -139,3 +139,18 @@ def test_merge_ways_agree(spark, how):
         got = reshape.merge(left, right, "k", how, broadcast_rows=limit)
         assert got.columns == plain.columns
         assert sorted(map(str, (tuple(r) for r in got.collect()))) == want
+
+
+def test_nested_columns_pass_through(spark):
+    df = spark.createDataFrame([(1, [1.0], {"a": 1}, None, None), (2, [2.0], {"b": 2}, "s", 4)], "id int, v array<float>, m map<string,int>, s string, n int")
+    filled = clean.fill_missing(clean.fill_missing(df, "all", "mode"), "all", "constant", "many")
+    assert filled.columns == df.columns and filled.orderBy("id").first()["s"] == "s"
+    from tablewright.operators import describe
+    assert {r["column"] for r in describe.unique_counts(df).collect()} == {"id", "s", "n"}
+    assert set(describe.describe(df)) >= {"dataset_info", "numeric_statistics"}
+
+
+def test_constant_for_all_skips_types_it_does_not_fit(spark):
+    df = spark.createDataFrame([(None, None)], "a string, b int")
+    assert tuple(clean.fill_missing(df, "all", "constant", "none").first()) == ("none", None)
+    assert tuple(clean.fill_missing(df, "all", "constant", 7).first()) == ("7", 7)
