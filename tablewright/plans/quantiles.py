@@ -86,6 +86,8 @@ def _narrow(data, columns, probs, rows, small) -> dict[str, list[float | None]]:
     targets = [
         _Target(f"c{i}", f"{i}_{j}", float(p)) for i in range(len(columns)) for j, p in enumerate(probs)
     ]
+    # the last step is distributed, so one row in fifty is few enough for it
+    enough = max(small, rows // 50)
     open_ = list(targets)
     for attempt in range(8):
         bounds = _propose(data, open_, rows, attempt)
@@ -107,7 +109,7 @@ def _narrow(data, columns, probs, rows, small) -> dict[str, list[float | None]]:
                 before = t.inside
                 t.accept(*bounds[t.index], seen[f"b{t.index}"], seen[f"i{t.index}"])
                 # a range that hardly shrinks holds few, frequent values: counting settles it
-                if t.inside > small and t.low < t.high and t.inside < 0.5 * before:
+                if t.inside > enough and t.low < t.high and t.inside < 0.5 * before:
                     still.append(t)
         open_ = still
         if not open_:
