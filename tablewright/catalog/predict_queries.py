@@ -3,10 +3,11 @@ models are rows-only and use few trees so that a check run stays short."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import predict
-from .registry import DOCS_LABELS_SQL, docs_labels, query, table, tidy, tidy_sql
+from .registry import DOCS_LABELS_SQL, EVENTS_GAP_SQL, docs_labels, events_gap, query, table, tidy, tidy_sql
 
 ORDER_FEATURES = ["o_custkey", "o_orderstatus", "o_orderpriority"]
 
@@ -21,6 +22,43 @@ def split(spark, folder):
     return table(spark, folder, "orders").select("o_orderkey", predict.is_test_row(["o_orderkey"]).alias("is_test"))
 
 
+_TRAIN = "(SELECT * FROM {0} t WHERE substr(md5('42:' || event_id::varchar), 1, 4) >= '3333')".format(EVENTS_GAP_SQL)
+
+
+@query("numeric_preparation", tidy_sql(
+    "SELECT event_id, (coalesce(value, q) - m) / s AS value, (user_id - um) / us AS user_id FROM {0} t,"
+    " (SELECT quantile_cont(value, 0.5) AS q, avg(value) AS m, stddev_samp(value) AS s, avg(user_id) AS um, stddev_samp(user_id) AS us"
+    " FROM {1} t) f".format(EVENTS_GAP_SQL, _TRAIN), "value", "user_id"
+))
+def numeric_preparation(spark, folder):
+    """Median fill and standardising, learnt on the training share, applied to all rows."""
+    events = events_gap(spark, folder)
+    layout = predict.learn_layout(predict.split(events, ["event_id"])[0], ["value", "user_id"])
+    slots = vector_to_array(F.col("features"))
+    return tidy(predict.prepare_features(events, layout).select(
+        "event_id", slots[0].alias("value"), slots[1].alias("user_id")
+    ))
+
+
+_PRIORITY = "(SELECT o_orderkey, nullif(o_orderpriority, '2-HIGH') AS p FROM orders)"
+
+
+@query("categorical_preparation", (
+    "SELECT o_orderkey, " + ", ".join(
+        f"(coalesce(p, common) = '{v}')::INT AS level_{i}" for i, v in enumerate(("1-URGENT", "3-MEDIUM", "4-NOT SPECIFIED"))
+    ) + f" FROM {_PRIORITY} t, (SELECT p AS common FROM {_PRIORITY} u WHERE p <> '5-LOW' GROUP BY p ORDER BY count(*) DESC, p LIMIT 1) c"
+))
+def categorical_preparation(spark, folder):
+    """Most frequent value for a missing one, a slot per level, none for an unseen level."""
+    priority = F.nullif(F.col("o_orderpriority"), F.lit("2-HIGH")).alias("p")
+    orders = table(spark, folder, "orders").select("o_orderkey", priority)
+    layout = predict.learn_layout(orders.where("p <> '5-LOW'"), ["p"])
+    slots = vector_to_array(F.col("features"))
+    return predict.prepare_features(orders, layout).select(
+        "o_orderkey", *[slots[i].cast("int").alias(f"level_{i}") for i in range(3)]
+    )
+
+
 @query("linear_one_feature", tidy_sql(
     "SELECT regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept"
     " FROM lineitem", "slope", "intercept", digits=3

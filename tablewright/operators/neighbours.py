@@ -26,6 +26,22 @@ MAX_DEPTH = 14
 QUERY_ROWS = 20_000     # rows looked up in one box by one task
 
 
+def _split(rows: np.ndarray, scale: np.ndarray) -> tuple[int, float]:
+    """Axis and cut value: the widest axis that halves the rows fairly, else the one that
+    halves them best (frequent values can make a median useless)."""
+    best = (False, -1.0, 0, 0.0)
+    for axis in range(rows.shape[1]) if len(rows) else ():
+        x = rows[:, axis]
+        cut = np.median(x)
+        if cut >= x.max() and (x < cut).any():
+            cut = x[x < cut].max()
+        share = float((x <= cut).mean())
+        balance = min(share, 1 - share)
+        fair = balance >= 0.3
+        best = max(best, (fair, (x.max() - x.min()) / scale[axis] if fair else balance, axis, float(cut)))
+    return best[2], best[3]
+
+
 class Boxes:
     """A balanced k-d tree in heap order: node i splits into 2i + 1 and 2i + 2."""
 
@@ -38,9 +54,7 @@ class Boxes:
         members = {0: sample}
         for node in range(2**depth - 1):
             rows = members.pop(node)
-            spread = (rows.max(axis=0) - rows.min(axis=0)) / scale if len(rows) else np.zeros(len(scale))
-            axis = int(spread.argmax())
-            cut = float(np.median(rows[:, axis])) if len(rows) else 0.0
+            axis, cut = _split(rows, scale)
             self.axis[node], self.cut[node] = axis, cut
             left, right = 2 * node + 1, 2 * node + 2
             for child in (left, right):

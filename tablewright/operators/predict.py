@@ -16,6 +16,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions.columns import CATEGORICAL, NUMERIC, as_double, col, column_roles, pick, present, require, require_some
 from ..functions.hashing import key_digest
+from ..plans.quantiles import exact_quantiles
 from ..plans.tall import fit_row
 from .diagnose import CLASS_LIMIT
 
@@ -63,17 +64,16 @@ class Layout:
 
 
 def learn_layout(train: DataFrame, names: Sequence[str]) -> Layout:
-    """Two scans whatever the number of features: one aggregation for all numbers, and
-    one count of ``(column, level)`` for all strings, which must stay few enough to
-    become vector slots."""
+    """A fixed number of scans whatever the number of features: one aggregation for all
+    columns, one count of ``(column, level)`` for all strings, which must stay few enough
+    to become vector slots, and the narrowing scans of the exact medians."""
     roles = column_roles(train)
     numeric = [c for c in names if roles[c] == NUMERIC]
     text = [c for c in names if roles[c] == CATEGORICAL]
     require_some([*numeric, *text], "feature columns")
     row = fit_row(train, {"rows": F.count(F.lit(1))} | {
         f"{k}{i}": e for i, c in enumerate(numeric) for k, e in (
-            ("q", F.percentile_approx(as_double(train, c), 0.5, 10_000)), ("m", F.avg(as_double(train, c))),
-            ("s", F.stddev_samp(as_double(train, c))))
+            ("m", F.avg(as_double(train, c))), ("s", F.stddev_samp(as_double(train, c))))
     } | {f"d{i}": F.approx_count_distinct(present(train, c)) for i, c in enumerate(text)})
     if not row["rows"]:
         raise ValueError("no training rows left after dropping missing values")
@@ -88,8 +88,9 @@ def learn_layout(train: DataFrame, names: Sequence[str]) -> Layout:
         )
         for r in counts.collect():
             levels[r["column"]].append((r["level"], r["n"]))
+    medians = exact_quantiles(train, numeric, [0.5])
     return Layout(
-        {c: (row[f"q{i}"], row[f"m{i}"], row[f"s{i}"] or 1.0) for i, c in enumerate(numeric)},
+        {c: (medians[c][0], row[f"m{i}"], row[f"s{i}"] or 1.0) for i, c in enumerate(numeric)},
         {c: (tuple(sorted(v for v, _ in found)), min(found, key=lambda x: (-x[1], x[0]))[0]) for c, found in levels.items()},
     )
 
@@ -122,6 +123,15 @@ def preparation(typed: DataFrame, layout: Layout, one_hot: bool = True) -> Pipel
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=parts, outputCol="features")]).fit(typed)
 
 
+def prepare_features(df: DataFrame, layout: Layout, one_hot: bool = True) -> DataFrame:
+    """Add the vector column ``features`` (stateless: also on a stream)."""
+    typed = _typed(df, layout)
+    inner = [f"__x{i}" for i in range(len(layout.numeric))] + [
+        f"__s{i}{k}" for i in range(len(layout.text)) for k in ("", "c", "o")
+    ]
+    return preparation(typed, layout, one_hot).transform(typed).drop(*inner)
+
+
 def _slots(layout: Layout, one_hot: bool = True) -> list[str]:
     """Source column of every slot of the feature vector."""
     return list(layout.numeric) + [

@@ -143,3 +143,15 @@ def test_nearest_neighbours(spark, leaf_rows, weights, monkeypatch):
         else:
             want = (y[ids[near]] / d[near]).sum() / (1 / d[near]).sum()
         assert got[i] == pytest.approx(want), i
+
+
+def test_boxes_stay_even_with_frequent_values():
+    rng = np.random.default_rng(1)
+    points = np.column_stack([np.where(rng.random(4000) < 0.9, 0.0, rng.normal(0, 100, 4000)), rng.normal(0, 1, 4000)])
+    boxes = neighbours.Boxes(points, points.std(axis=0), 5)
+    counts = np.bincount(boxes.locate(points), minlength=32)
+    assert counts.sum() == 4000 and counts.max() < 4 * 4000 / 32
+    rows, reached = boxes.reached(points[:50], np.full(50, np.inf))
+    assert len(rows) == 50 * 32
+    rows, reached = boxes.reached(points[:50], np.zeros(50))
+    assert set(zip(rows, reached)) >= set(zip(range(50), boxes.locate(points[:50])))
