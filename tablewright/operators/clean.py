@@ -103,7 +103,7 @@ def fit_fill(
 
 
 def fill_ordered(
-    df: DataFrame, columns, order_by: Sequence[str], partition_by: Sequence[str] = (),
+    df: DataFrame, columns, order_by: Sequence[str] = (), partition_by: Sequence[str] = (),
     direction: str = "forward", small: int = ORDERED_SMALL,
 ) -> DataFrame:
     """Carry the last (``forward``) or next (``backward``) present value.

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.tails import f_tail, incomplete_beta
 from tablewright.operators import diagnose, predict, prescribe
+from tablewright.operators.analyze import analyze
 
 
 def test_tail_anchors():
@@ -151,3 +152,19 @@ def test_user_scenarios(spark, plane):
     asked = spark.createDataFrame([("s1", 1.0, 1.0), ("s2", 3.0, 0.0)], "name string, a double, b double")
     got = {r["name"]: r["objective_value"] for r in prescribe.score_scenarios(fitted, asked, ["name"]).collect()}
     assert got == {"s1": pytest.approx(0), "s2": pytest.approx(7)}
+
+
+def test_analyze(sales, plane):
+    assert "correlation_matrix" in analyze(sales, "descriptive", {"columns": ["a", "b", "s"]})
+    found = analyze(sales, "diagnostic", {"target_column": "y", "feature_columns": ["a", "b"], "run_feature_importance": False})
+    assert set(found) == {"target_kind", "associations", "outliers"} and found["associations"].count() == 2
+    row = analyze(sales, "predictive", {
+        "target_column": "y", "feature_columns": ["a", "s"], "problem_type": "regression", "model_type": "linear_model",
+        "test_size": 0.2})["model_performance"].first()
+    assert row["r2"] > 0.95 and 60 < row["n"] < 180
+    best = analyze(plane, "prescriptive", {
+        "objective_column": "y", "objective_type": "minimize", "decision_variables": ["a", "b"],
+        "constraints": [{"variable": "b", "min": 0, "max": 5}]})["optimization"].first()
+    assert best["objective_value"] == pytest.approx(-14)
+    with pytest.raises(ValueError):
+        analyze(plane, "other")
