@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd

@@ -13,7 +13,6 @@ from ..plans.prefix import carried_value
 from ..plans.quantiles import exact_quantiles
 from ..plans.step import Step
 from ..plans.tall import fit_row
-from .profile import missing_counts
 
 ORDERED_SMALL = 1_000_000   # rows up to which one window per key is used
 
@@ -164,6 +163,5 @@ def drop_missing(df: DataFrame, how: str = "any", thresh: int | None = None, axi
 
 
 __all__ = [
-    "drop_columns", "drop_missing", "fill_missing", "fill_ordered", "fit_fill", "missing_counts",
-    "most_frequent",
+    "drop_columns", "drop_missing", "fill_missing", "fill_ordered", "fit_fill", "most_frequent",
 ]

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_double, col, present, require
-from ..plans.lookup import BROADCAST_ROWS
+from ..plans.lookup import BROADCAST_ROWS, is_small
 from ..plans.quantiles import grouped_quantiles
 from .encode import MAX_LEVELS, distinct_levels
 
@@ -114,12 +114,9 @@ def merge(
     if how == "cross":
         return left.crossJoin(right)
 
-    def small(side: DataFrame) -> bool:
-        return side.limit(broadcast_rows + 1).count() <= broadcast_rows
-
-    if how in ("inner", "left") and small(right):
+    if how in ("inner", "left") and is_small(right, broadcast_rows):
         return left.join(F.broadcast(right), keys, how)
-    if how in ("inner", "right") and small(left):
+    if how in ("inner", "right") and is_small(left, broadcast_rows):
         return F.broadcast(left).join(right, keys, how)
     both = left.join(right, keys, "inner")
     out = both

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import col, numeric_columns
+from ..functions.columns import numeric_columns
 from .clean import drop_columns, drop_missing, fill_missing
 from .encode import encode_categorical
 from .outliers import handle_outliers
@@ -94,4 +94,4 @@ def operations_summary(df: DataFrame, operations: Iterable[Mapping]) -> DataFram
     )
 
 
-__all__ = ["STEPS", "col", "operations_summary", "preprocess_report", "run_step", "run_steps"]
+__all__ = ["STEPS", "operations_summary", "preprocess_report", "run_step", "run_steps"]

@@ -15,6 +15,12 @@ HOT_KEYS = 1_000           # most frequent keys handled by broadcast beyond that
 SALTS = 64
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether the table has at most ``limit`` rows. Partitions are read one after the
+    other only until the limit is passed, so a large table is not scanned."""
+    return len(df.select(F.lit(1)).limit(limit + 1).collect()) <= limit
+
+
 def few_rows(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
     """The table as literal rows if it has at most ``limit`` of them, else None. Literal
     rows are computed once and keep the plan of a chain of steps from nesting."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.columns import as_double, col, is_missing, present, require_some, string_columns, type_of
+from ..functions.columns import col, is_missing, present, require_some, string_columns
 from ..plans.tall import fit_row, tall_aggregate
 
 # Value ranges of the signed integer types, smallest first.
@@ -54,6 +54,3 @@ def detect_categoricals(df: DataFrame, columns="all", approximate: bool = False)
     return tall.withColumn(
         "is_categorical", F.coalesce(F.try_divide(F.col("distinct"), F.col("rows")) < limit, F.lit(False))
     )
-
-
-__all__ = ["as_double", "detect_categoricals", "narrow_floats", "narrow_integers", "type_of"]
