@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog.registry import table
-from . import decontaminate, packing, shards
+from . import decontaminate, languages, near_duplicates, packing, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return shards.interleave(table(spark, folder, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.language_report(table(spark, folder, "documents"))
+
+
+@query("op8_minhash_near_duplicates")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, folder, "documents"))
