@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog.registry import table
-from . import decontaminate, languages, near_duplicates, packing, shards
+from . import decontaminate, languages, near_duplicates, packing, personal_data, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_minhash_near_duplicates")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op4_personal_data")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, folder, "documents"))
