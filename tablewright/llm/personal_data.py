@@ -29,7 +29,7 @@ EDGE = 4                              # a span so near to a cut edge is left to
 SURE = 0.9                            # mean probability of an added span's tags
 SHORTEST = 6                          # characters of an added span
 DOCUMENTS, WINDOWS = 20_000, 2_400    # bounds of the training sample
-HIDDEN, BATCH, STEPS, RATE = 12, 48, 260, 0.02
+HIDDEN, BATCH, STEPS, RATE = 16, 32, 500, 0.02
 
 
 def luhn(digits: str) -> bool:
@@ -115,52 +115,48 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Tagger:
-    """Weights of the two LSTM directions, the emission layer and the CRF transitions."""
+    """Weights of the two LSTM directions (stacked), the emission layer and the CRF transitions."""
 
     def __init__(self, hidden: int = HIDDEN, seed: int = 4):
         rng = np.random.default_rng(seed)
         h = hidden
-        self.w = {}
-        for d in "fb":
-            self.w[d + "x"] = rng.normal(0, 0.3, (CLASSES, 4 * h))
-            self.w[d + "h"] = rng.normal(0, 0.3, (h, 4 * h))
-            self.w[d + "x"][:, h:2 * h] += 1                      # forget gates start open
-        self.w["e"] = rng.normal(0, 0.3, (2 * h, TAGS))
-        self.w["c"] = np.zeros(TAGS)
-        self.w["t"] = np.zeros((TAGS, TAGS))
-        self.allowed = np.zeros((TAGS, TAGS))
+        self.w = {
+            "x": rng.normal(0, 0.3, (2, CLASSES, 4 * h)), "h": rng.normal(0, 0.3, (2, h, 4 * h)),
+            "e": rng.normal(0, 0.3, (2 * h, TAGS)), "c": np.zeros(TAGS), "t": np.zeros((TAGS, TAGS)),
+        }
+        self.w["x"][:, :, h:2 * h] += 1                           # forget gates start open
+        self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
+        self.closed = np.zeros((TAGS, TAGS), np.float32)          # moves that no tagging makes
         for k in range(len(KINDS)):
             inside = 2 + 2 * k
-            self.allowed[:, inside] = -1e4
-            self.allowed[[inside - 1, inside], inside] = 0
-        self.opening = np.where((np.arange(TAGS) > 0) & (np.arange(TAGS) % 2 == 0), -1e4, 0.0)
-
-    def _run(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """Hidden states of one direction, (steps, windows, hidden)."""
-        wx, wh = self.w[d + "x"], self.w[d + "h"]
-        h = wh.shape[0]
-        state, cell = np.zeros((x.shape[1], h), wx.dtype), np.zeros((x.shape[1], h), wx.dtype)
-        out = np.empty((*x.shape, h), wx.dtype)
-        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-            g = wx[x[t]] + state @ wh
-            gates, fresh = _sigmoid(g[:, :3 * h]), np.tanh(g[:, 3 * h:])
+            self.closed[:, inside] = -1e4
+            self.closed[[inside - 1, inside], inside] = 0
+        self.opening = np.where((np.arange(TAGS) > 0) & (np.arange(TAGS) % 2 == 0), np.float32(-1e4), np.float32(0))
+
+    def _states(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """Hidden states of both directions side by side, (steps, windows, 2 * hidden)."""
+        wx, wh = self.w["x"], self.w["h"]
+        h, n = wh.shape[1], len(x)
+        given = np.stack([wx[0][x], wx[1][x[::-1]]], 1)
+        state = np.zeros((2, x.shape[1], h), np.float32)
+        cell = np.zeros_like(state)
+        out = np.empty((n, 2, x.shape[1], h), np.float32)
+        for t in range(n):
+            g = given[t] + state @ wh
+            gates, fresh = _sigmoid(g[:, :, :3 * h]), np.tanh(g[:, :, 3 * h:])
             old, was = cell, state
-            cell = gates[:, h:2 * h] * old + gates[:, :h] * fresh
+            cell = gates[:, :, h:2 * h] * old + gates[:, :, :h] * fresh
             bent = np.tanh(cell)
-            state = gates[:, 2 * h:] * bent
+            state = gates[:, :, 2 * h:] * bent
             out[t] = state
             if keep is not None:
-                keep.append((t, gates, fresh, old, bent, was))
-        return out
-
-    def emissions(self, x: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, "f"), self._run(x, "b")], 2)
-        return both @ self.w["e"] + self.w["c"]
+                keep.append((gates, fresh, old, bent, was))
+        return np.concatenate([out[:, 0], out[::-1, 1]], 2)
 
     def decode(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags and their probabilities by the emissions, (windows, steps)."""
-        e = self.emissions(windows.T)
-        moves = self.w["t"] + self.allowed
+        """Best tags by Viterbi and their probabilities by the emissions, (windows, steps)."""
+        e = self._states(windows.T) @ self.w["e"] + self.w["c"]
+        moves = self.w["t"] + self.closed
         score, back = e[0] + self.opening, []
         for t in range(1, len(e)):
             ways = score[:, :, None] + moves
@@ -175,70 +171,69 @@ class Tagger:
         p /= p.sum(2, keepdims=True)
         return tags.T, np.take_along_axis(p, tags[:, :, None], 2)[:, :, 0].T
 
-    def _step(self, windows: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
-        """Negative log likelihood a window and its gradients."""
+    def loss(self, windows: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
+        """Negative log likelihood a window, and its gradients."""
         x, y = windows.T, tags.T
-        runs = {"f": [], "b": []}
-        hidden = {d: self._run(x, d, runs[d]) for d in "fb"}
-        both = np.concatenate([hidden["f"], hidden["b"]], 2)
-        e = both @ self.w["e"] + self.w["c"]
-        moves = self.w["t"] + self.allowed
-        n, m = len(e), len(windows)
-        rows = np.arange(m)
-
-        def lse(a, axis):
-            top = a.max(axis, keepdims=True)
-            return (top + np.log(np.exp(a - top).sum(axis, keepdims=True))).squeeze(axis)
-
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[0] = e[0] + self.opening
-        for t in range(1, n):
-            alpha[t] = lse(alpha[t - 1][:, :, None] + moves, 1) + e[t]
+        n, m = x.shape
+        h = self.w["h"].shape[1]
+        kept: list = []
+        states = self._states(x, kept)
+        e = states @ self.w["e"] + self.w["c"]
+
+        top = e.max(2, keepdims=True)
+        likely, moves = np.exp(e - top), np.exp(self.w["t"] + self.closed)
+        ahead, behind, scale = np.empty_like(e), np.ones_like(e), np.empty((n, m, 1), np.float32)
+        for t in range(n):
+            ahead[t] = likely[t] * (ahead[t - 1] @ moves if t else np.exp(self.opening))
+            scale[t] = ahead[t].sum(1, keepdims=True)
+            ahead[t] /= scale[t]
         for t in range(n - 2, -1, -1):
-            beta[t] = lse(moves + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        total = lse(alpha[-1], 1)
-        gold = e[0][rows, y[0]] + self.opening[y[0]]
-        de = np.exp(alpha + beta - total[None, :, None])
-        dt = np.zeros_like(moves)
-        for t in range(1, n):
-            gold = gold + moves[y[t - 1], y[t]] + e[t][rows, y[t]]
-            dt += np.exp(alpha[t - 1][:, :, None] + moves + (e[t] + beta[t])[:, None, :] - total[:, None, None]).sum(0)
-            np.subtract.at(dt, (y[t - 1], y[t]), 1)
-        np.subtract.at(de, (np.arange(n)[:, None], rows[None, :], y), 1)
+            behind[t] = (likely[t + 1] * behind[t + 1]) @ moves.T / scale[t + 1]
+        total = np.log(scale).sum() + top.sum()
+        at, rows = np.arange(n)[:, None], np.arange(m)[None, :]
+        gold = e[at, rows, y].sum() + (self.w["t"] + self.closed)[y[:-1], y[1:]].sum()
+
+        de = ahead * behind
+        de[at, rows, y] -= 1
         de /= m
-        grad = {"t": dt / m, "e": np.einsum("tmh,tmk->hk", both, de), "c": de.sum((0, 1))}
-        dboth = de @ self.w["e"].T
-        h = self.w["fh"].shape[0]
-        for k, d in enumerate("fb"):
-            dh_all, wh = dboth[:, :, k * h:(k + 1) * h], self.w[d + "h"]
-            gx, gh = np.zeros_like(self.w[d + "x"]), np.zeros_like(wh)
-            dstate, dcell = np.zeros((m, h)), np.zeros((m, h))
-            for t, gates, fresh, old, bent, was in reversed(runs[d]):
-                dh = dh_all[t] + dstate
-                i, f, o = gates[:, :h], gates[:, h:2 * h], gates[:, 2 * h:]
-                dc = dcell + dh * o * (1 - bent * bent)
-                g = np.concatenate([dc * fresh * i * (1 - i), dc * old * f * (1 - f), dh * bent * o * (1 - o), dc * i * (1 - fresh * fresh)], 1)
-                np.add.at(gx, x[t], g)
-                gh += was.T @ g
-                dstate, dcell = g @ wh.T, dc * f
-            grad[d + "x"], grad[d + "h"] = gx, gh
-        return float((total - gold).mean()), grad
+        dt = moves * np.tensordot(ahead[:-1], likely[1:] * behind[1:] / scale[1:], ((0, 1), (0, 1)))
+        np.subtract.at(dt, (y[:-1], y[1:]), 1)
+        grad = {"t": dt / m, "e": np.tensordot(states, de, ((0, 1), (0, 1))), "c": de.sum((0, 1))}
+        whole = de @ self.w["e"].T
+        given = np.stack([whole[:, :, :h], whole[::-1, :, h:]], 1)
+        dgates = np.empty((n, 2, m, 4 * h), np.float32)
+        dstate, dcell = np.zeros((2, m, h), np.float32), np.zeros((2, m, h), np.float32)
+        wh = self.w["h"].transpose(0, 2, 1)
+        for t in range(n - 1, -1, -1):
+            gates, fresh, old, bent, _ = kept[t]
+            i, f, o = gates[:, :, :h], gates[:, :, h:2 * h], gates[:, :, 2 * h:]
+            dh = given[t] + dstate
+            dc = dcell + dh * o * (1 - bent * bent)
+            g = dgates[t]
+            g[:, :, :h], g[:, :, h:2 * h], g[:, :, 2 * h:3 * h] = dc * fresh, dc * old, dh * bent
+            g[:, :, :3 * h] *= gates * (1 - gates)
+            g[:, :, 3 * h:] = dc * i * (1 - fresh * fresh)
+            dstate, dcell = g @ wh, dc * f
+        was = np.stack([k[4] for k in kept])
+        grad["h"] = np.stack([np.tensordot(was[:, d], dgates[:, d], ((0, 1), (0, 1))) for d in range(2)])
+        hot = np.eye(CLASSES, dtype=np.float32)
+        grad["x"] = np.stack([np.tensordot(hot[x[::1 - 2 * d]], dgates[:, d], ((0, 1), (0, 1))) for d in range(2)])
+        return float((total - gold) / m), grad
 
     def train(self, windows: np.ndarray, tags: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE) -> list[float]:
         """Adam over seeded batches; returns the loss of every step."""
         rng, losses = np.random.default_rng(4), []
         first, second = {k: np.zeros_like(v) for k, v in self.w.items()}, {k: np.zeros_like(v) for k, v in self.w.items()}
         for s in range(1, steps + 1):
-            pick = rng.integers(0, len(windows), min(batch, len(windows)))
-            loss, grad = self._step(windows[pick], tags[pick])
+            pick = rng.integers(0, len(windows), batch)
+            loss, grad = self.loss(windows[pick], tags[pick])
             losses.append(loss)
-            size = np.sqrt(sum((g * g).sum() for g in grad.values()))
-            pace = rate * min(1.0, 5 / (size + 1e-9)) * (1 - 0.9 * s / steps)
+            pace = rate * (1 - 0.95 * s / steps)
             for k, g in grad.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
-                self.w[k] -= pace * (first[k] / (1 - 0.9 ** s)) / (np.sqrt(second[k] / (1 - 0.99 ** s)) + 1e-8)
-        self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
+                step = (first[k] / (1 - 0.9 ** s)) / (np.sqrt(second[k] / (1 - 0.99 ** s)) + 1e-8)
+                self.w[k] = (self.w[k] - pace * step).astype(np.float32)
         return losses
 
 
@@ -367,7 +362,8 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """
     rows = texts_of(docs, text, doc_id)
     found, base, whole = mark_spans(rows, fit_tagger(rows), keep=["doc_id"])
-    count = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    kinds = F.transform(base, lambda s: s["kind"])
+    count = [(F.size(base) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *count, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(whole).alias("spans"))
 
 
