@@ -148,3 +148,39 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     stop[split] = True
     starts, ends = np.flatnonzero(begin), np.flatnonzero(stop)
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+class IdSieve:
+    """Ids as set bits of a bitmap of at most 16 MB: rows whose id is none of them are told apart as they
+    are read, so that only the others need a join. Where it is too small it tells fewer apart."""
+
+    def __init__(self, ids: DataFrame, name: str):
+        self.room, count = 1 << 27, ids.count()
+        while self.room > (1 << 18) and self.room > 64 * count:
+            self.room >>= 1
+        place = self._spot(name) + 1                           # Spark's bitmaps count from 1
+        parts = ids.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+        bits = np.zeros(self.room >> 3, np.uint8)
+        for r in parts.collect():
+            if r["k"] is not None:
+                bits[(r["k"] - 1) << 12:r["k"] << 12] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        self.bits = ids.sparkSession.sparkContext.broadcast(bits)
+
+    def _spot(self, name: str):
+        return F.pmod(F.xxhash64(F.col(name).cast("string")), F.lit(self.room))
+
+    def rows(self, df: DataFrame, name: str, inside: bool) -> DataFrame:
+        """Rows whose id may be one of the ids, or those whose id certainly is none (null ids too)."""
+        spot, shared = fresh_name(df.columns, "__spot"), self.bits
+
+        def choose(batches):
+            bits = shared.value
+            for batch in batches:
+                at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1 == 1) == inside))
+
+        place = F.when(F.col(name).isNotNull(), self._spot(name)).otherwise(0)
+        tagged = df.withColumn(spot, place)
+        some = small_batches(tagged).mapInArrow(choose, tagged.schema).drop(spot)
+        known = F.col(name).isNotNull()
+        return some.where(known) if inside else some.where(known).unionByName(df.where(~known))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import LOWER, byte_table, fresh_name, hash_ranges, map_texts, small_batches, stored, texts_of, word_spans
+from .common import IdSieve, LOWER, byte_table, hash_ranges, map_texts, small_batches, stored, texts_of, word_spans
 from .components import components
 
 WORDS = byte_table(words=False)
@@ -102,29 +102,10 @@ def _plausible(a: str, b: str, percent: int) -> Column:
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have a similarity of ``percent`` or more.
 
-    Only texts that occur in a pair are shuffled: the ids in question set bits of a bitmap (at most
-    16 MB; where it is too small it only lets other texts through) that is applied as the texts are read.
+    Only texts that occur in a pair are shuffled: others are told apart as they are read.
     """
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    room, pairs_in_all = 1 << 27, pairs.count()
-    while room > (1 << 18) and room > 64 * pairs_in_all:
-        room >>= 1
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(room))
-    place = spot("id") + 1                                 # Spark's bitmaps count from 1
-    marks = ids.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    bits = np.zeros(room >> 3, np.uint8)
-    for r in marks.collect():
-        bits[(r["k"] - 1) << 12:r["k"] << 12] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    packed = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def wanted(batches):
-        known = packed.value
-        for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(known[at >> 3] >> (at & 7) & 1 == 1))
-
-    texts = docs.where("doc_id IS NOT NULL").withColumn("spot", spot("doc_id"))
-    texts = small_batches(texts).mapInArrow(wanted, texts.schema).drop("spot")
+    texts = IdSieve(ids, "id").rows(docs, "doc_id", inside=True)
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -249,5 +230,8 @@ def _next_pairs(waiting: DataFrame, labels: DataFrame, planes: DataFrame, tested
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = 80) -> DataFrame:
     """``docs`` with one document of every component; the columns stay as they are."""
-    gone = near_duplicates(docs, doc_id, text, size, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    found = near_duplicates(docs, doc_id, text, size, percent)
+    gone = stored(found.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "copies")
+    sieve = IdSieve(gone, "__gone")
+    doubtful = sieve.rows(docs, doc_id, inside=True).join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    return sieve.rows(docs, doc_id, inside=False).unionByName(doubtful)
