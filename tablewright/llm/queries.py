@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog.registry import table
-from . import decontaminate, languages, near_duplicates, packing, personal_data, shards
+from . import decontaminate, languages, near_duplicates, packing, personal_data, shards, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,24 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_personal_data")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.personal_data(table(spark, folder, "documents"))
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+parts AS (SELECT vec_id, unnest(q) AS x, unnest(range(len(q))) AS i FROM v),
+scores AS (
+  SELECT a.vec_id AS query_id, b.vec_id, sum(a.x * b.x)::bigint AS score
+  FROM parts a JOIN parts b USING (i) WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank, vec_id, score
+FROM scores QUALIFY rank <= 20
+"""
+
+
+@query("op3_exact_top_k", TOP_K_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
