@@ -33,7 +33,7 @@ def _packed(rows: DataFrame, width: int, count: int, size: int) -> tuple[DataFra
     """Blocks of about ``size`` rows, dealt by a hash of the id and numbered from 0, and how many there are."""
     blocks = max(1, -(-count // size))
 
-    def run(key, part: pa.Table) -> pa.Table:
+    def run(key, part):
         part = part.combine_chunks()
         ids = part.column("id").to_numpy()
         vectors = _matrix(part.column("v").chunk(0), width)
