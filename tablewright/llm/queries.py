@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog.registry import table
-from . import decontaminate, languages, near_duplicates, packing, personal_data, shards, topk
+from . import decontaminate, languages, near_duplicates, packing, personal_data, shards, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,62 @@ FROM scores QUALIFY rank <= 20
 @query("op3_exact_top_k", TOP_K_SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def _page_text_sql(html: str) -> str:
+    """The steps of warc.plain_text as SQL."""
+    t = f"regexp_replace({html}, '(?s)<!--.*?(-->|\\z)', ' ', 'g')"
+    for name in warc.SKIPPED:
+        t = f"regexp_replace({t}, '(?is)<{name}\\b.*?(</{name}\\s*>|\\z)', ' ', 'g')"
+    t = f"regexp_replace({t}, '(?is)<head\\b.*?</head\\s*>', ' ', 'g')"
+    t = f"regexp_replace({t}, '(?i)</?({'|'.join(warc.LINES)})\\b[^>]*>', chr(10), 'g')"
+    t = f"regexp_replace({t}, '<[/!?a-zA-Z][^>]*(>|\\z)', '', 'g')"
+    t = f"regexp_replace({_characters_sql(t)}, '[ \\t\\r\\f\\x0B\\x{{A0}}]+', ' ', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, ' ?\\n ?', chr(10), 'g'), '\\n+', chr(10), 'g')"
+    return f"regexp_replace({t}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+
+
+def _characters_sql(text: str) -> str:
+    for name, char in warc.NAMED.items():
+        quoted = char.replace("'", "''")
+        text = f"replace({text}, '&{name};', '{quoted}')"
+    return f"replace({text}, '&amp;', '&')"
+
+
+def _uuid_sql(text: str) -> str:
+    h = f"md5({text})"
+    return "'<urn:uuid:' || " + " || '-' || ".join(f"{h}[{a}:{b}]" for a, b in ((1, 8), (9, 12), (13, 16), (17, 20), (21, 32))) + " || '>'"
+
+
+_LINE_SQL = "chr(13) || chr(10)"
+_TITLE_SQL = "trim(regexp_replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1), '[ \\t\\r\\n\\f\\x0B\\x{A0}]+', ' ', 'g'))"
+
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS html FROM pages),
+r AS (
+  SELECT page_id, target_uri, {_uuid_sql("'response ' || coalesce(page_id::varchar, '') || ' ' || target_uri")} AS refers_to,
+    'sha256:' || sha256(html) AS source_digest, {_page_text_sql("html")} AS text, {_characters_sql(_TITLE_SQL)} AS title,
+    lower(regexp_extract(html, '(?i)<html\\b[^>]*?\\blang\\s*=\\s*"?([A-Za-z0-9-]+)', 1)) AS lang,
+    list_transform(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"', 1), lambda u: {_characters_sql("u")}) AS links
+  FROM p
+),
+m AS (
+  SELECT page_id, target_uri, refers_to, source_digest, 'metadata' AS kind,
+    'title: ' || title || {_LINE_SQL} || 'language: ' || lang || {_LINE_SQL} || 'characters: ' || length(text) || {_LINE_SQL} || 'links: ' || len(links)
+    || {_LINE_SQL} || coalesce(array_to_string(list_transform(links, lambda u: 'outlink: ' || u || {_LINE_SQL}), ''), '')
+    || 'source-Content-Type: text/html; charset=utf-8' || {_LINE_SQL} AS block
+  FROM r
+  UNION ALL SELECT page_id, target_uri, refers_to, source_digest, 'conversion', text FROM r
+)
+SELECT page_id, kind, {_uuid_sql("kind || ' ' || refers_to || ' ' || target_uri || ' 2024-01-01T00:00:00Z'")} AS record_id, refers_to, target_uri,
+  octet_length(encode(block))::bigint AS content_length, 'sha256:' || sha256(block) AS block_digest, source_digest
+FROM m
+"""
+
+
+@query("op5_warc_derivatives", WARC_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    responses = warc.page_responses(table(spark, folder, "pages"))
+    return warc.derive(responses, carry=["page_id"]).select(
+        "page_id", "kind", "record_id", "refers_to", "target_uri", "content_length", "block_digest", "source_digest",
+    )

@@ -126,7 +126,7 @@ def top_k(
     blocks = stored(packed, "blocks")
     asks, _ = _packed(known.where("asks").select("id", "v"), width, asking, QUERIES)
     asks = asks.select(
-        F.explode(F.sequence(F.lit(0), F.lit(number - 1))).cast("long").alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(number - 1).cast("long"))).alias("block"),
         F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
     pairs = asks.join(blocks, "block")
 
