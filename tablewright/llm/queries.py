@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog.registry import table
-from . import decontaminate, languages, near_duplicates, packing, personal_data, shards, topk, warc
+from . import decontaminate, languages, near_duplicates, packing, personal_data, repeats, shards, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -165,3 +165,28 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return warc.derive(responses, carry=["page_id"]).select(
         "page_id", "kind", "record_id", "refers_to", "target_uri", "content_length", "block_digest", "source_digest",
     )
+
+
+SUFFIX_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+grams AS (SELECT doc_id, p, h[2 * p + 1:2 * p + 100] AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d)),
+first AS (SELECT g, min(doc_id) AS holder FROM grams GROUP BY g),
+hits AS (SELECT doc_id, p FROM grams JOIN first USING (g) WHERE holder < doc_id),
+steps AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM hits),
+runs AS (SELECT doc_id, p, sum((q IS NULL OR p > q + 50)::int) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM steps),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM runs GROUP BY doc_id, r),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER w, 0) AS before FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+kept AS (
+  SELECT d.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed,
+    string_agg(h[2 * before + 1:2 * a], '' ORDER BY a) || any_value(h)[2 * max(b) + 1:] AS left_over
+  FROM d JOIN gaps USING (doc_id) GROUP BY d.doc_id
+)
+SELECT d.doc_id, (length(h) // 2)::bigint AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans,
+  sha256(unhex(coalesce(left_over, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op2_suffix_array_dedup", SUFFIX_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
