@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import fresh_name, map_texts, texts_of
 
 FEATURES = 1 << 13           # hashed n-grams of one to three characters
-SAMPLE = 600                 # documents a language, about, that the centroids are fitted on
+SAMPLE = 400                 # documents a language, about, that the centroids are fitted on
 CENTROIDS = 4                # clusters a language
 ROUNDS = 12                  # of k-means
 REACH = 0.5                  # a text is rejected below this share of the lowest cosine seen in training
@@ -62,9 +62,8 @@ class Centroids:
     """Unit centroids, the language of each, weights of the features and lowest accepted cosines."""
 
     def __init__(self, vectors: np.ndarray, languages: list[str], clusters: int = CENTROIDS):
-        counts = np.log1p(vectors)
-        self.weights = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-        points = _unit(counts * self.weights)
+        self.weights = (np.log((1 + len(vectors)) / (1 + np.count_nonzero(vectors, 0))) + 1).astype(np.float32)
+        points = _unit(np.log1p(vectors) * self.weights)
         self.names, self.owner, rows, lowest = sorted(set(languages)), [], [], []
         labels = np.array(languages)
         for k, name in enumerate(self.names):
@@ -93,7 +92,7 @@ class Centroids:
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
+    return m / np.maximum(np.sqrt(np.einsum("ij,ij->i", m, m))[:, None], 1e-12)
 
 
 def _spherical_means(points: np.ndarray, k: int) -> np.ndarray:
@@ -119,7 +118,7 @@ def fit_languages(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", t
     ).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
-        return Centroids(np.zeros((0, FEATURES)), [])
+        return Centroids(np.zeros((0, FEATURES), np.float32), [])
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample / n))) for k, n in sorted(counts.items())], F.lit(0.0))
     place = F.pmod(F.xxhash64(F.lit(6), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.where(place < share)
@@ -130,16 +129,16 @@ def fit_languages(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", t
         for k in range(0, len(texts), ROWS):
             for row, t in zip(_counts(texts[k:k + ROWS]), texts[k:k + ROWS]):
                 at = np.flatnonzero(row) if has_letter(t) else np.zeros(0, np.int64)
-                slots.append(at.tolist())
-                values.append(row[at].tolist())
-        return [pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))]
-
-    fields = [T.StructField("slots", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.FloatType()))]
-    found = map_texts(chosen, features, fields, keep=["doc_id", "lang"]).where(F.size("slots") > 0).collect()
-    found.sort(key=lambda r: (r["lang"], r["doc_id"]))
-    vectors = np.zeros((len(found), FEATURES))
+                slots.append(at.astype(np.int32).tobytes())
+                values.append(row[at].astype(np.float32).tobytes())
+        return [pa.array(slots, pa.binary()), pa.array(values, pa.binary())]
+
+    fields = [T.StructField("slots", T.BinaryType()), T.StructField("values", T.BinaryType())]
+    found = map_texts(chosen, features, fields, keep=["doc_id", "lang"]).where(F.octet_length("slots") > 0).collect()
+    found.sort(key=lambda r: (r["lang"], r["doc_id"] or "", bytes(r["slots"])))
+    vectors = np.zeros((len(found), FEATURES), np.float32)
     for row, r in zip(vectors, found):
-        row[r["slots"]] = r["values"]
+        row[np.frombuffer(r["slots"], np.int32)] = np.frombuffer(r["values"], np.float32)
     return Centroids(vectors, [r["lang"] for r in found])
 
 

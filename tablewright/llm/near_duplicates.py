@@ -14,11 +14,11 @@ from .components import components
 WORDS = byte_table(words=False)
 SHINGLE = 4
 BANDS, ROWS = 50, 6                   # a pair of similarity 0.8 shares no band with probability 3e-7
-MINIMA = BANDS * ROWS
-LONGS = -(-MINIMA // 64)              # of one bit plane; two low bits are kept of each minimum
+MINIMA = 1024                         # of which the first BANDS * ROWS make the bands
+LONGS = MINIMA // 64                  # of one bit plane; two low bits are kept of each minimum
 AGREE = 0.25                          # chance that two different minima have the same two bits
-FLOOR = 0.67                          # estimates below it are over 4.5 deviations under 0.8
-PIVOTS = 32                           # members of a bucket compared with all others in one round
+FLOOR = 0.735                         # estimates below it are 4.4 deviations under 0.8
+PIVOTS = 1024                         # members of a bucket compared with all others in one round
 SHINGLE_BASE = np.uint64(0xE7037ED1A0B428DB)
 
 _rng = np.random.default_rng(8)
@@ -50,8 +50,8 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     """The least value of each of the hash functions x -> factor * x + shift over the shingles."""
     least = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    for k in range(0, len(x), 1024):
-        np.minimum(least, (x[k:k + 1024, None] * _FACTORS + _SHIFTS).min(0), out=least)
+    for k in range(0, len(x), 128):
+        np.minimum(least, (x[k:k + 128, None] * _FACTORS + _SHIFTS).min(0), out=least)
     return least
 
 
@@ -66,11 +66,11 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     def work(data, offsets, rows):
         sets = shingle_sets(data, offsets, size)
         least = np.stack([minima(s) for s in sets])
-        banded = (least.reshape(len(sets), BANDS, ROWS).astype(np.uint64) * band_up).sum(2, dtype=np.uint64)
+        banded = (least[:, :BANDS * ROWS].reshape(len(sets), BANDS, ROWS).astype(np.uint64) * band_up).sum(2, dtype=np.uint64)
         banded = (banded ^ (banded >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)
         banded = ((banded ^ (banded >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
         bits = np.zeros((2, len(sets), LONGS * 64), np.uint8)
-        bits[0, :, :MINIMA], bits[1, :, :MINIMA] = least & 1, least >> 1 & 1
+        bits[0], bits[1] = least & 1, least >> 1 & 1
         planes = np.packbits(bits, axis=2).view(np.int64)
         n = np.array([len(s) for s in sets])
         k0 = [int(s.sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
@@ -131,12 +131,11 @@ def _set_of(text: str, size: int) -> np.ndarray:
     return shingle_sets(data, np.array([0, len(data)]), size)[0]
 
 
-def _labels(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
+def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) for all ``nodes``, themselves where nothing is linked."""
-    if links is None:
-        return nodes.select("node", F.col("node").alias("component"))
     found = components(links).withColumnRenamed("node", "other")
-    return nodes.join(found, F.col("node") == F.col("other"), "left").select("node", F.coalesce("component", "node").alias("component"))
+    joined = nodes.join(found, F.col("node") == F.col("other"), "left")
+    return stored(joined.select("node", F.coalesce("component", "node").alias("component")), "labels")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = 80) -> DataFrame:
@@ -172,23 +171,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = stars.groupBy("a").agg(F.max_by("b", F.struct("likely", -F.col("b"))).alias("b"))
     tested = first = stored(first, "tested")
     links = stored(confirm(first, rows, percent, size), "links")
-    nodes = crowd.select("node").distinct()
+    nodes = stored(crowd.select("node").distinct(), "nodes")
     labels = _labels(nodes, links)
-    split = _apart(stars.select("a", "b"), labels).join(first, ["a", "b"], "left_anti")
-    turn = 0
-    waiting = crowd.select("band", "node")
+    waiting, turn = crowd.select("band", "node"), 0
     while True:
-        split = stored(split, "pairs")
-        if split.isEmpty():
-            if turn and waiting.isEmpty():
-                break
-        else:
-            tested = tested.unionByName(split)
-            links = stored(links.unionByName(confirm(split, rows, percent, size)), "links")
-            labels = _labels(nodes, links)
         turn += 1
-        waiting, split = _next_pairs(waiting, labels, planes, tested, percent, turn)
-    labels = _labels(nodes, links).withColumnRenamed("node", "of")
+        waiting, doubtful = _next_pairs(waiting, labels, planes, tested, percent, turn)
+        doubtful = stored(doubtful, "pairs")
+        if not doubtful.isEmpty():
+            tested = tested.unionByName(doubtful)
+            links = stored(links.unionByName(confirm(doubtful, rows, percent, size)), "links")
+            labels = _labels(nodes, links)
+        elif waiting.isEmpty():
+            break
+    labels = labels.withColumnRenamed("node", "of")
     known = classes.select("k0", "k1", "n", "node").join(labels, F.col("node") == F.col("of"), "left").select(
         F.col("k0").alias("c0"), F.col("k1").alias("c1"), F.col("n").alias("cn"), F.coalesce("component", "node").alias("component"))
     same = (F.col("k0") == F.col("c0")) & (F.col("k1") == F.col("c1")) & (F.col("n") == F.col("cn")) & F.col("doc_id").isNotNull()
@@ -200,13 +196,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose two nodes are not in one component."""
-    one = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    two = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(one, "a").join(two, "b").where("ca <> cb").select("a", "b")
-
-
 def _next_pairs(waiting: DataFrame, labels: DataFrame, planes: DataFrame, tested: DataFrame, percent: int, turn: int):
     """Members of buckets that hold several components, less this turn's pivots, and the pairs of these
     pivots with members of other components that are still in question.
@@ -219,7 +208,8 @@ def _next_pairs(waiting: DataFrame, labels: DataFrame, planes: DataFrame, tested
         F.max_by("component", F.struct("c", "component")).alias("most"), (F.sum("c") - F.max("c")).alias("others"), F.count("*").alias("kinds"),
     ).where("kinds > 1").drop("kinds")
     open_ = now.join(mixed, "band")
-    drawn = (F.col("component") != F.col("most")) & (F.pmod(F.xxhash64("node", F.lit(turn)), F.col("others")) < PIVOTS)
+    share = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)       # the same in every bucket
+    drawn = (F.col("component") != F.col("most")) & (share * F.col("others") < PIVOTS)
     open_ = stored(open_.withColumn("pivot", drawn).select("band", "node", "component", "pivot"), "open")
     ready = open_.join(planes, "node")
     x, y = ready.where("pivot").alias("x"), ready.alias("y")
