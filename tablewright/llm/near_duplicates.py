@@ -19,6 +19,7 @@ LONGS = MINIMA // 64                  # of one bit plane; two low bits are kept
 AGREE = 0.25                          # chance that two different minima have the same two bits
 FLOOR = 0.735                         # estimates below it are 4.4 deviations under 0.8
 PIVOTS = 1024                         # members of a bucket compared with all others in one round
+REMEMBERED = 16 << 20                 # characters of texts whose sets a task keeps for the next pairs
 SHINGLE_BASE = np.uint64(0xE7037ED1A0B428DB)
 
 _rng = np.random.default_rng(8)
@@ -111,16 +112,20 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataF
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
     def judge(batches):
-        last_text, last_set = None, None
+        known: dict[str, np.ndarray] = {}
+        held = 0
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = x.as_py(), y.as_py()
-                if y != last_text:
-                    last_text, last_set = y, _set_of(y, size)
-                one = _set_of(x, size)
-                shared = len(np.intersect1d(one, last_set, assume_unique=True))
-                linked.append(shared > 0 and 100 * shared >= percent * (len(one) + len(last_set) - shared))
+            for texts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                for t in texts:
+                    if t not in known:
+                        if held > REMEMBERED:
+                            known, held = {k: known[k] for k in texts if k in known}, 0
+                        known[t] = _set_of(t, size)
+                        held += len(t)
+                one, two = known[texts[0]], known[texts[1]]
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                linked.append(shared > 0 and 100 * shared >= percent * (len(one) + len(two) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return small_batches(both, 100).mapInArrow(judge, pairs.select("a", "b").schema).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog.registry import table
-from . import decontaminate, languages, near_duplicates, packing, personal_data, repeats, shards, topk, warc
+from . import chains, decontaminate, languages, near_duplicates, packing, personal_data, repeats, shards, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -189,4 +189,9 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 @query("op2_suffix_array_dedup", SUFFIX_SQL)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, folder, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return repeats.remove_repeats(table(spark, folder, "documents"), bodies=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op7_substring_chains")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return chains.fuzzy_passages(table(spark, folder, "documents"))

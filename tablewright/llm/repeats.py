@@ -205,21 +205,21 @@ def _chunk_of(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, Stret
     return ids, data, offsets, Stretches(data, offsets)
 
 
-def _parts(bucket: np.ndarray):
+def parts_of(bucket: np.ndarray):
     """(bucket, places in it) for the buckets that occur."""
     order = np.argsort(bucket, kind="stable")
     names, at = np.unique(bucket[order], return_index=True)
     return zip(names.tolist(), np.split(order, at[1:]))
 
 
-def _blob(values: np.ndarray) -> bytes:
+def blob(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
 SIDE = "chunk long, bucket long, round int, a binary, b binary, c binary, d binary"
 
 
-def _side(rows: list[tuple]) -> pa.Table:
+def side_rows(rows: list[tuple]) -> pa.Table:
     kinds = [pa.int64(), pa.int64(), pa.int32()] + [pa.binary()] * 4
     names = ["chunk", "bucket", "round", "a", "b", "c", "d"]
     columns = list(zip(*rows)) if rows else [[]] * 7
@@ -231,7 +231,7 @@ def _choose(stretches: Stretches, side: list[dict], buckets: int) -> tuple[np.nd
     keys, several = stretches.keys()
     hot = np.zeros(len(keys), bool)
     told = {r["bucket"]: r for r in side if r["round"] == 1}
-    for b, at in _parts(bucket_of(keys, buckets, 1)):
+    for b, at in parts_of(bucket_of(keys, buckets, 1)):
         if b in told:
             several[at] |= np.unpackbits(np.frombuffer(told[b]["a"], np.uint8), count=len(at)).astype(bool)
             hot[at] = np.unpackbits(np.frombuffer(told[b]["b"], np.uint8), count=len(at)).astype(bool)
@@ -287,29 +287,13 @@ def _resolve(table: pa.Table) -> pa.Table:
             new = np.concatenate([[True], (e[1:] != e[:-1]) | (f[1:] != f[:-1]) | (o[1:] != o[:-1] + 1)])
             at = np.flatnonzero(new)
             run = np.diff(np.append(at, len(e)))
-            out.append((r["chunk"], r["bucket"], 2, _blob(e[at].astype(np.int32)), _blob(o[at].astype(np.uint8)), _blob(run.astype(np.uint8)), _blob(f[at])))
+            out.append((r["chunk"], r["bucket"], 2, blob(e[at].astype(np.int32)), blob(o[at].astype(np.uint8)), blob(run.astype(np.uint8)), blob(f[at])))
         done += n
-    return _side(out)
+    return side_rows(out)
 
 
-def first_holders(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK, bucket_keys: int = KEYS,
-    bucket_stretches: int = STRETCHES, hot: int = HOT,
-):
-    """Chunked documents, side rows for each chunk, and what reads both: the parts of ``remove_repeats``."""
-    rows = texts_of(docs, text, doc_id)
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    chunks = max(1, -(-total // chunk_bytes))
-    expected = 2 * total // (WIDE + 1) + 1
-    one, two = max(1, -(-expected // bucket_keys)), max(1, -(-expected // (4 * bucket_stretches)))
-    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(chunks)).cast("long"))
-
-    def offer(part):
-        _, _, _, stretches = _chunk_of(part.filter(part.column("doc_id").is_valid()))
-        keys, _ = stretches.keys()
-        chunk = part.column("chunk")[0].as_py()
-        low = keys.astype(np.uint32)
-        return _side([(chunk, b, 0, _blob(low[at]), None, None, None) for b, at in _parts(bucket_of(keys, one, 1))])
+def shared_keys(hot: int):
+    """First round, for one bucket: which keys other chunks have too, and which are in more than ``hot`` chunks."""
 
     def shared(part):
         side = part.to_pylist()
@@ -320,12 +304,46 @@ def first_holders(
         for r, k in zip(side, keys):
             t = times[low:low + len(k)]
             low += len(k)
-            out.append((r["chunk"], r["bucket"], 1, _blob(np.packbits(t > 1)), _blob(np.packbits(t > hot)), None, None))
-        return _side(out)
+            out.append((r["chunk"], r["bucket"], 1, blob(np.packbits(t > 1)), blob(np.packbits(t > hot)), None, None))
+        return side_rows(out)
+
+    return shared
+
+
+def chunked_by_id(rows: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
+    """Texts dealt to chunks by a hash of their id, and the bytes there are in all."""
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    spot = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(max(1, -(-total // chunk_bytes))))
+    return rows.withColumn("chunk", spot.cast("long")), total
+
+
+def remove_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bodies: bool = True, chunk_bytes: int = CHUNK,
+    bucket_keys: int = KEYS, bucket_stretches: int = STRETCHES, hot: int = HOT,
+) -> DataFrame:
+    """One row per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left, unless
+    ``bodies`` is off), cuts (first byte and end of each removed run, flat).
+
+    A byte goes if it lies in SPAN bytes that also start in a document with a smaller doc_id, all texts as they
+    were given, as UTF-8. Repeats within a document stay, and so does the first holder's copy. Null and empty
+    texts lose nothing, texts count whole, rows with one doc_id never make each other go, a null doc_id neither
+    loses bytes nor makes others lose any; an empty table gives no rows; other columns are not read.
+    """
+    rows = texts_of(docs, text, doc_id)
+    chunked, total = chunked_by_id(rows, chunk_bytes)
+    expected = 2 * total // (WIDE + 1) + 1
+    one, two = max(1, -(-expected // bucket_keys)), max(1, -(-expected // (4 * bucket_stretches)))
+
+    def offer(part):
+        _, _, _, stretches = _chunk_of(part.filter(part.column("doc_id").is_valid()))
+        keys, _ = stretches.keys()
+        chunk = part.column("chunk")[0].as_py()
+        low = keys.astype(np.uint32)
+        return side_rows([(chunk, b, 0, blob(low[at]), None, None, None) for b, at in parts_of(bucket_of(keys, one, 1))])
 
     def stretch(part, side):
         if not part.num_rows:
-            return _side([])
+            return side_rows([])
         ids, data, _, stretches = _chunk_of(part.filter(part.column("doc_id").is_valid()))
         chosen, hottest = _choose(stretches, side.to_pylist(), one)
         source, start, size, at, _, least = stretches.entries(chosen, hottest, ids)
@@ -333,10 +351,10 @@ def first_holders(
         # Strings of hot minimizers go by what they hold, the others by their minimizer.
         spread = np.where(hottest[source[at]], rolling_at(data, start[at], SPAN), key)
         chunk, out = part.column("chunk")[0].as_py(), []
-        for b, k in _parts(bucket_of(spread, two, 2)):
+        for b, k in parts_of(bucket_of(spread, two, 2)):
             body = b"".join(data[s:s + n + SPAN - 1].tobytes() for s, n in zip(start[at[k]].tolist(), size[at[k]].tolist()))
-            out.append((chunk, b, 2, _blob(spread[k]), _blob(size[at[k]].astype(np.uint8)), _blob(least[k]), body))
-        return _side(out)
+            out.append((chunk, b, 2, blob(spread[k]), blob(size[at[k]].astype(np.uint8)), blob(least[k]), body))
+        return side_rows(out)
 
     def remove(part, side):
         if not part.num_rows:
@@ -356,7 +374,7 @@ def first_holders(
         np.add.at(flags, (start + size + SPAN - 1)[dup], -1)
         by_entry = np.argsort(back, kind="stable")
         heads = np.searchsorted(back[by_entry], np.arange(len(at) + 1))
-        for b, k in _parts(bucket_of(spread, two, 2)):
+        for b, k in parts_of(bucket_of(spread, two, 2)):
             if b not in told:
                 continue
             r = told[b]
@@ -373,15 +391,15 @@ def first_holders(
         out = []
         for i, d in enumerate(ids.tolist()):
             a, b = int(offsets[i]), int(offsets[i + 1])
-            out.append(_row(d, data[a:b], gone[a:b]))
+            out.append(_row(d, data[a:b], gone[a:b], bodies))
         for t in part.filter(part.column("doc_id").is_null()).column("text").to_pylist():
             body = np.frombuffer((t or "").encode(), np.uint8)
-            out.append(_row(None, body, np.zeros(len(body), bool)))
+            out.append(_row(None, body, np.zeros(len(body), bool), bodies))
         return _removed(out)
 
     by_chunk = chunked.groupBy("chunk")
     offered = by_chunk.applyInArrow(offer, SIDE)
-    bits = offered.groupBy("bucket").applyInArrow(shared, SIDE)
+    bits = offered.groupBy("bucket").applyInArrow(shared_keys(hot), SIDE)
     stretched = by_chunk.cogroup(bits.groupBy("chunk")).applyInArrow(stretch, SIDE)
     answers = stretched.groupBy("bucket").applyInArrow(_resolve, SIDE)
     return by_chunk.cogroup(bits.unionByName(answers).groupBy("chunk")).applyInArrow(remove, REMOVED)
@@ -396,10 +414,10 @@ def rolling_at(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, cuts array<int>"
 
 
-def _row(doc_id, body: np.ndarray, gone: np.ndarray) -> tuple:
+def _row(doc_id, body: np.ndarray, gone: np.ndarray, bodies: bool) -> tuple:
     edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
     kept = body[~gone].tobytes()
-    return doc_id, len(body), int(gone.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest(), kept, edges.tolist()
+    return doc_id, len(body), int(gone.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest(), kept if bodies else None, edges.tolist()
 
 
 def _removed(rows: list[tuple]) -> pa.Table:
@@ -407,15 +425,3 @@ def _removed(rows: list[tuple]) -> pa.Table:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "cuts"]
     columns = list(zip(*rows)) if rows else [[]] * 7
     return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)})
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left), cuts (first
-    byte and end of each removed run, flat).
-
-    A byte goes if it lies in SPAN bytes that also start in a document with a smaller doc_id, all texts as they
-    were given, as UTF-8. Repeats within a document stay, and so does the first holder's copy. Null and empty
-    texts lose nothing, texts count whole, rows with one doc_id never make each other go, a null doc_id neither
-    loses bytes nor makes others lose any; an empty table gives no rows; other columns are not read.
-    """
-    return first_holders(docs, doc_id, text, **how)
