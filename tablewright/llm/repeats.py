@@ -81,6 +81,8 @@ class Stretches:
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct minimizers and whether two documents of the chunk have each."""
+        if not len(self.key):
+            return self.key, np.zeros(0, bool)
         order = np.lexsort([self.doc, self.key])
         k, d = self.key[order], self.doc[order]
         new = np.ones(len(k), bool)
