@@ -419,3 +419,11 @@ def fill_knn(spark, folder):
 @query("fill_knn_distance", _knn_sql("sum(y / dist) / sum(1 / dist)"))
 def fill_knn_distance(spark, folder):
     return _knn(spark, folder, "distance")
+
+
+@query("one_hot_long", (
+    "SELECT p_partkey, 'p_name' AS \"column\", p_name AS level, 1 AS value FROM part"
+    " UNION ALL SELECT p_partkey, 'p_brand', p_brand, 1 FROM part"
+))
+def one_hot_long(spark, folder):
+    return encode.one_hot_long(table(spark, folder, "part"), ["p_partkey"], ["p_name", "p_brand"])

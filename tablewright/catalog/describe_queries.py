@@ -186,3 +186,14 @@ def scatter_sample(spark, folder):
     return describe.scatter_sample(
         table(spark, folder, "orders"), ["o_orderkey"], "o_custkey", "o_totalprice", "o_orderpriority"
     )
+
+
+@query("correlation_by_offset", tidy_sql(
+    "SELECT l_returnflag, 'q' AS a, 'e' AS b, count(*) AS n, corr(l_quantity, l_extendedprice) AS r FROM lineitem GROUP BY 1", "r"
+))
+def correlation_by_offset(spark, folder):
+    """Segments a billion apart; a shift does not change r."""
+    far = F.ascii("l_returnflag") * F.lit(1e9)
+    line = table(spark, folder, "lineitem").select(
+        "l_returnflag", (F.col("l_quantity") + far).alias("q"), (F.col("l_extendedprice") + far).alias("e"))
+    return tidy(describe.correlation_pairs(line, ["q", "e"], by=["l_returnflag"]))

@@ -93,6 +93,16 @@ def pearson_with_target_by(spark, folder):
     return tidy(diagnose.pearson_with_target(line, "l_extendedprice", LINE, by=["l_returnflag"]).drop("p"))
 
 
+@query("pearson_large_mean", tidy_sql(
+    "SELECT 'x' AS feature, count(*) AS n, corr(event_id % 1000, event_id % 1000 + value) AS r FROM events", "r"
+))
+def pearson_large_mean(spark, folder):
+    """A mean of 1e15 beside a spread of hundreds; a shift does not change r."""
+    x = F.col("event_id") % 1000
+    events = table(spark, folder, "events").select((x + F.lit(1e15)).alias("x"), (x + F.col("value")).alias("y"))
+    return tidy(diagnose.pearson_with_target(events, "y", ["x"]).drop("p"))
+
+
 def _anova_sql(columns, target, source, by=""):
     lead = f"{by}, " if by else ""
     return tidy_sql(union_all(

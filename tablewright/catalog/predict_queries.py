@@ -59,21 +59,6 @@ def categorical_preparation(spark, folder):
     )
 
 
-@query("linear_one_feature", tidy_sql(
-    "SELECT regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept"
-    " FROM lineitem", "slope", "intercept", digits=3
-))
-def linear_one_feature(spark, folder):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    line = table(spark, folder, "lineitem").select("l_quantity", "l_extendedprice")
-    ready = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(line)
-    model = LinearRegression(labelCol="l_extendedprice", solver="normal", regParam=0.0).fit(ready)
-    found = [(float(model.coefficients[0]), float(model.intercept))]
-    return tidy(spark.createDataFrame(found, "slope double, intercept double"), 3)
-
-
 @query("regression_metrics", tidy_sql(
     "SELECT n, mse, sqrt(mse) AS rmse, 1 - mse / v AS r2 FROM (SELECT count(*) AS n, avg((y - p) * (y - p)) AS mse, var_pop(y) AS v"
     " FROM (SELECT l_extendedprice / 1000 AS y, l_quantity * 1.5 AS p FROM lineitem) t) t", "mse", "rmse", "r2"

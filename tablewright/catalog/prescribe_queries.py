@@ -151,3 +151,24 @@ def user_scenarios(spark, folder):
     """Every row of the table as a scenario of its own."""
     line = table(spark, folder, "lineitem")
     return tidy(prescribe.score_scenarios(_fit(spark, folder), line, ["l_orderkey", "l_linenumber", "l_partkey"]), 3)
+
+
+@query("user_scenarios_by", tidy_sql(
+    f"SELECT s.l_orderkey, s.l_linenumber, s.l_partkey, s.l_returnflag, b0 + c1 * s.l_quantity + c2 * s.l_discount AS objective_value"
+    f" FROM lineitem s JOIN ({_BY}) f ON s.l_returnflag = f.g", "objective_value", digits=3
+))
+def user_scenarios_by(spark, folder):
+    """Every row is scored by the fit of its own segment."""
+    line = table(spark, folder, "lineitem")
+    fitted = _fit(spark, folder, ["l_returnflag"])
+    return tidy(prescribe.score_scenarios(fitted, line, ["l_orderkey", "l_linenumber", "l_partkey"], ["l_returnflag"]), 3)
+
+
+@query("optimum_infeasible", tidy_sql(
+    "SELECT 'l_quantity' AS variable, 200.0::double AS lower, max(l_quantity)::double AS upper, NULL::double AS optimal, false AS converged FROM lineitem"
+    " UNION ALL SELECT 'l_discount', min(l_discount)::double, max(l_discount)::double, NULL, false FROM lineitem", "lower", "upper"
+))
+def optimum_infeasible(spark, folder):
+    """A lower limit above all that was observed leaves no value."""
+    bounded = prescribe.decision_bounds(_fit(spark, folder), [{"variable": "l_quantity", "min": 200}])
+    return tidy(prescribe.optimum(bounded).select("variable", "lower", "upper", "optimal", "converged"))

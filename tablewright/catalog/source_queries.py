@@ -28,7 +28,33 @@ def csv_source(spark, folder):
 def csv_inferred(spark, folder):
     path = fresh_path(spark, "customer-csv")
     table(spark, folder, "customer").write.csv(path, header=True)
-    return readers.read_table(spark, path, "csv", samplingRatio=0.5)
+    return readers.read_table(spark, path, "csv")
+
+
+DOCUMENTS_SQL = "SELECT doc_id, md5(text) AS text, lang, source, n_chars FROM documents"
+
+
+@query("csv_quoted", DOCUMENTS_SQL)
+def csv_quoted(spark, folder):
+    """Texts with quotes, commas and line breaks survive a CSV file."""
+    path = fresh_path(spark, "documents-csv")
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    back = readers.read_table(spark, path, "csv", "doc_id long, text string, lang string, source string, n_chars long")
+    return back.withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
+@query("json_pretty", DOCUMENTS_SQL)
+def json_pretty(spark, folder):
+    """Pretty-printed arrays of up to 500 records, a file each."""
+    path = fresh_path(spark, "documents-json")
+    docs = table(spark, folder, "documents")
+    record = F.to_json(F.struct(*docs.columns), {"pretty": "true"})
+    parts = docs.groupBy(F.expr("doc_id div 500").alias("part")).agg(F.array_join(F.collect_list(record), ",\n").alias("records"))
+    files = parts.select("part", F.concat(F.lit("[\n"), "records", F.lit("\n]")).alias("value"))
+    files.write.partitionBy("part").text(path)
+    back = readers.read_table(spark, path, "json")
+    return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"), "lang", "source", "n_chars")
 
 
 @query("csv_many_files", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
@@ -126,7 +152,7 @@ def narrow_floats(spark, folder):
 
 @query("detect_categoricals", " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS \"distinct\", count(*) AS \"rows\","
-    f" count(DISTINCT {c})::double / count(*) < CASE WHEN count(*) > 1000000 THEN 0.1 ELSE 0.5 END AS is_categorical FROM {t}"
+    f" count(DISTINCT {c})::double / count(*) < 0.5 AS is_categorical FROM {t}"
     for c, t in (("p_name", "part"), ("p_brand", "part"), ("p_type", "part"))
 ))
 def detect_categoricals(spark, folder):

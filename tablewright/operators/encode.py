@@ -12,20 +12,30 @@ from ..plans.lookup import few_rows, join_lookup
 from ..plans.prefix import running_total
 from ..plans.step import Step
 
-# Fixed value: most levels a column may have to be spread over columns.
-MAX_LEVELS = 50
 
-
-def distinct_levels(df: DataFrame, name: str, cap: int = MAX_LEVELS) -> list:
-    """Sorted distinct present values; an error when there are more than ``cap``."""
+def distinct_levels(df: DataFrame, name: str, cap: int | None = None) -> list:
+    """Sorted distinct present values, which will be columns; an error when there are more
+    than ``cap``, if the caller names one."""
     values = df.select(present(df, name).alias("v")).where("v is not null").distinct()
-    got = sorted(r["v"] for r in values.limit(cap + 1).collect())
-    if len(got) > cap:
+    got = sorted(r["v"] for r in (values if cap is None else values.limit(cap + 1)).collect())
+    if cap is not None and len(got) > cap:
         raise ValueError(f"column {name} has more than {cap} distinct values")
     return got
 
 
-def fit_one_hot(df: DataFrame, columns="all", drop_first: bool = False, cap: int = MAX_LEVELS) -> Step:
+def one_hot_long(df: DataFrame, keys: Sequence[str], columns="all") -> DataFrame:
+    """``(keys…, column, level, value)``: the ones of a one-hot encoding as rows, for any
+    number of levels. Nothing is collected and nothing is shuffled; missing values have no row."""
+    require(df, keys)
+    names = string_columns(df) if columns in ("all", ["all"], None) else pick(df, columns)
+    ones = F.array(*[
+        F.struct(F.lit(c).alias("column"), present(df, c).cast("string").alias("level")) for c in names if c not in keys
+    ])
+    rows = df.select(*[col(k) for k in keys], F.inline(ones)).where("level is not null")
+    return rows.withColumn("value", F.lit(1))
+
+
+def fit_one_hot(df: DataFrame, columns="all", drop_first: bool = False, cap: int | None = None) -> Step:
     """0/1 column ``{column}_{value}`` per level, appended; the original is dropped.
     A missing value is zero in all of them."""
     names = string_columns(df) if columns in ("all", ["all"], None) else pick(df, columns)
@@ -114,7 +124,7 @@ def fit_target_mean(df: DataFrame, columns, target_column: str) -> Step:
 
 def fit_encode(
     df: DataFrame, columns="all", method: str = "one_hot", drop_first: bool = False,
-    target_column: str | None = None, orders: dict[str, Sequence] | None = None, cap: int = MAX_LEVELS,
+    target_column: str | None = None, orders: dict[str, Sequence] | None = None, cap: int | None = None,
 ) -> Step:
     if method == "one_hot":
         return fit_one_hot(df, columns, drop_first, cap)

@@ -105,7 +105,8 @@ def fit_objective(df: DataFrame, objective_column: str, decision_variables, by:
 
 def decision_bounds(fitted: DataFrame, constraints: Sequence[Mapping] = ()) -> DataFrame:
     """Add ``lower`` and ``upper``: the constraint of the variable where given, else the
-    observed smallest and largest value."""
+    observed smallest and largest value. A constraint on one side only may leave an empty
+    range, which ``optimum`` reports."""
     lower = upper = None
     for c in constraints:
         here = F.col("variable") == c["variable"]
@@ -123,7 +124,8 @@ def decision_bounds(fitted: DataFrame, constraints: Sequence[Mapping] = ()) -> D
 
 def optimum(bounded: DataFrame, objective_type: str = "maximize", by: Sequence[str] = ()) -> DataFrame:
     """Add ``optimal`` per variable and the segment's ``objective_value``. A variable
-    without influence stays at its mean (cut to the bounds)."""
+    without influence stays at its mean (cut to the bounds). Where a variable has no
+    value within its bounds, the segment has no optimum: ``converged`` is false."""
     if objective_type not in ("maximize", "minimize"):
         raise ValueError(f"unknown objective type: {objective_type}")
     sign = F.col("coefficient") if objective_type == "maximize" else -F.col("coefficient")
@@ -132,9 +134,13 @@ def optimum(bounded: DataFrame, objective_type: str = "maximize", by: Sequence[s
         .otherwise(F.greatest(F.col("lower"), F.least(F.col("upper"), F.col("mean"))))
     )
     segment = W.partitionBy(*[col(b) for b in by])   # a few rows per segment
-    return bounded.withColumn("optimal", best).withColumn(
-        "objective_value", F.col("intercept") + F.sum(F.col("coefficient") * F.col("optimal")).over(segment)
-    ).withColumns({"converged": F.lit(True), "message": F.lit("linear objective: optimum at the bounds")})
+    possible = F.coalesce(F.bool_and(F.col("lower") <= F.col("upper")).over(segment), F.lit(False))
+    return bounded.withColumn("converged", possible).withColumn("optimal", F.when(F.col("converged"), best)).withColumn(
+        "objective_value", F.when(
+            F.col("converged"), F.col("intercept") + F.sum(F.col("coefficient") * F.col("optimal")).over(segment))
+    ).withColumn("message", F.when(F.col("converged"), "linear objective: optimum at the bounds").otherwise(
+        "no optimum: a variable has no value within its bounds")
+    ).select(*bounded.columns, "optimal", "objective_value", "converged", "message")
 
 
 def scenario_scores(scenarios: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -217,15 +223,31 @@ def sensitivity(best: DataFrame, step: float = STEP) -> DataFrame:
     )
 
 
-def score_scenarios(fitted: DataFrame, scenarios: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``(keys…, objective_value)`` for the caller's own scenarios: one row each, with a
-    column per decision variable. The coefficients are a handful of driver values."""
-    rows = fitted.select("variable", "coefficient", "intercept").collect()
-    require(scenarios, [*keys, *[r["variable"] for r in rows]])
-    score = F.lit(rows[0]["intercept"])
-    for r in rows:
-        score = score + F.lit(r["coefficient"]) * col(r["variable"]).cast("double")
-    return scenarios.select(*[col(k) for k in keys], score.alias("objective_value"))
+def score_scenarios(fitted: DataFrame, scenarios: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``(keys…, by…, objective_value)`` for the caller's own scenarios: one row each, with a column per
+    decision variable. With ``by``, the columns that the fit was segmented by, each scenario is scored by
+    its own segment's fit; a segment that was not fitted gives null."""
+    names = [r["variable"] for r in fitted.select("variable").distinct().orderBy("variable").collect()]
+    require(scenarios, [*keys, *by, *names])
+    coefficients = [F.max(F.when(F.col("variable") == v, F.col("coefficient"))).alias(f"__c{i}") for i, v in enumerate(names)]
+    found = fitted.groupBy(*[col(b).alias(f"__b{i}") for i, b in enumerate(by)]).agg(
+        *coefficients, F.max("intercept").alias("__i"), F.count("*").alias("__n"))
+    if not by:
+        row = found.first()
+        if row["__n"] != len(names):
+            raise ValueError("the fit has segments: name them in by")
+        model = {c: F.lit(row[c]) for c in found.columns}
+        joined = scenarios
+    else:
+        same = F.lit(True)
+        for i, b in enumerate(by):
+            same = same & col(b).eqNullSafe(F.col(f"__b{i}"))
+        model = {c: F.col(c) for c in found.columns}
+        joined = scenarios.join(found, same, "left")
+    score = model["__i"]
+    for i, v in enumerate(names):
+        score = score + model[f"__c{i}"] * col(v).cast("double")
+    return joined.select(*[col(k) for k in (*keys, *by)], score.alias("objective_value"))
 
 
 def prescribe(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import as_double, col, present, require
 from ..plans.lookup import BROADCAST_ROWS, is_small
 from ..plans.quantiles import grouped_quantiles
-from .encode import MAX_LEVELS, distinct_levels
+from .encode import distinct_levels
 
 AGGREGATES = {
     "count": lambda df, c: F.count(present(df, c)),
@@ -26,7 +26,7 @@ RANKED = {"median": 0.5, "q25": 0.25, "q75": 0.75}
 
 
 def pivot(
-    df: DataFrame, index: Sequence[str], columns: str, values: str, agg: str = "sum", cap: int = MAX_LEVELS,
+    df: DataFrame, index: Sequence[str], columns: str, values: str, agg: str = "sum", cap: int | None = None,
 ) -> DataFrame:
     """One column per sorted distinct value of ``columns`` (at most ``cap``, checked)."""
     require(df, [*index, columns, values])

@@ -1,8 +1,8 @@
 """Correlations of many column pairs in one lean aggregation.
 
 Columns are first centred and scaled with their overall mean and deviation (one small
-fitting scan). Then sums of products suffice and stay accurate: one sum per pair where
-nothing is missing, six where the pairwise-complete rows of the pair differ.
+fitting scan). Covariances and deviations then come from aggregates that merge partial
+moments around their own means, so that segments with offsets and large means lose nothing.
 """
 
 from __future__ import annotations
@@ -14,19 +14,11 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.columns import as_double, col
 from .tall import fit_row, tall_aggregate
 
-FLAT = 1e-12   # relative spread below which a column counts as constant
 
-
-def _from_sums(a: str, b: str) -> str:
-    """Pearson r (SQL text) from sums over rows where both sides are present."""
-    u, v = f"if({b} IS NULL, NULL, {a})", f"if({a} IS NULL, NULL, {b})"
-    n, su, sv = f"count({u} + {v})", f"sum({u})", f"sum({v})"
-    suu, svv, suv = f"sum({u} * {u})", f"sum({v} * {v})", f"sum({u} * {v})"
-    uu, vv = f"({suu} - try_divide({su} * {su}, {n}))", f"({svv} - try_divide({sv} * {sv}, {n}))"
-    return (
-        f"if({uu} > {FLAT} * {suu} AND {vv} > {FLAT} * {svv},"
-        f" ({suv} - try_divide({su} * {sv}, {n})) / sqrt({uu} * {vv}), NULL)"
-    )
+def _pearson(a: str, b: str, full: bool) -> str:
+    """Pearson r (SQL text) over rows where both sides are present; null if one of them does not vary."""
+    u, v = (a, b) if full else (f"if({b} IS NULL, NULL, {a})", f"if({a} IS NULL, NULL, {b})")
+    return f"try_divide(covar_pop({u}, {v}), stddev_pop({u}) * stddev_pop({v}))"
 
 
 def pair_correlations(
@@ -43,10 +35,10 @@ def pair_correlations(
     for i, c in enumerate(names):
         mean, std = row[f"m{i}"] or 0.0, row[f"s{i}"] or 0.0
         unit[c] = f"__u{i}"
-        flat[c] = not std > FLAT * abs(mean)
+        flat[c] = not std > 0
         full[c] = row[f"n{i}"] == row["rows"]
         scaled.append(((as_double(df, c) - F.lit(mean)) / F.lit(std if not flat[c] else 1.0)).alias(unit[c]))
-    # SQL text for the many sums: a wide table has thousands of pairs
+    # SQL text for the many aggregates: a wide table has thousands of pairs
     stats = {}
     for a, b in pairs:
         u, v = unit[a], unit[b]
@@ -55,10 +47,8 @@ def pair_correlations(
             r = "CAST(any_value(NULL) AS DOUBLE)"
         elif a == b and not by:
             r = "any_value(1.0D)"
-        elif full[a] and full[b] and not by:
-            r = f"try_divide(sum({u} * {v}), count(1))"
         else:
-            r = _from_sums(u, v)
+            r = _pearson(u, v, full[a] and full[b])
         stats[(a, b)] = {"n": F.expr(both), "r": F.expr(f"if({r} IS NULL, NULL, greatest(-1.0D, least(1.0D, {r})))")}
     df = df.select(*[col(b) for b in by], *scaled)
     return tall_aggregate(df, stats, by, label=label, batch=2 * batch)

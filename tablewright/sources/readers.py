@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import DATETIME, col, column_roles, pick, require
+from ..plans.tall import fit_row
 from .workbooks import read_workbooks
 
 # Format by file name ending.
@@ -15,6 +16,14 @@ FORMATS = {
     "csv": "csv", "json": "json", "xlsx": "excel", "xls": "excel", "parquet": "parquet", "orc": "orc", "xml": "xml",
 }
 
+# Cells of a CSV file that mean a missing value, and text of the types tried in turn.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+)
+PRETTY = ("[", "{", "[{")     # a first line of JSON that does not hold a whole record
+KINDS = ("int", "bigint", "double", "date", "timestamp")
+
 
 def format_of(path: str) -> str:
     ending = path.rstrip("/").rsplit(".", 1)[-1].lower()
@@ -29,9 +38,11 @@ def read_table(
 ) -> DataFrame:
     """Read one or many files (paths or globs) as a table.
 
-    Without ``schema`` CSV and JSON types are inferred, which reads the data an extra
-    time; give ``samplingRatio`` to infer from a part, or better a schema. JSON takes
-    one-line arrays and JSON lines; ``multiLine=True`` is for pretty-printed arrays.
+    Without ``schema`` CSV and JSON types are inferred from all rows, which reads the data an
+    extra time. CSV quotes are doubled inside quotes, the usual words for a missing value are
+    null, and a row of the wrong width, or a value that does not fit its column, is an error
+    rather than a null. Quoted line breaks are looked for first (``multiLine=False``
+    saves that scan). JSON takes arrays, pretty-printed or not, and JSON lines.
     """
     first = path if isinstance(path, str) else path[0]
     fmt = fmt or format_of(first)
@@ -44,17 +55,59 @@ def read_table(
         if schema is None:
             raise ValueError("reading workbooks needs a schema")
         return read_workbooks(spark, paths, schema, **options)
-    reader = spark.read
     if fmt == "csv":
-        options = {"header": True, "inferSchema": schema is None, **options}
+        return _read_csv(spark, paths, schema, options)
+    reader = spark.read
     if fmt == "xml":
         options = {"rowTag": "row", **options}
+    if fmt == "json":
+        start = [r["value"].strip() for r in reader.text(paths[0]).take(20)]
+        pretty = next((line for line in start if line), "") in PRETTY
+        options = {"mode": "FAILFAST", "multiLine": pretty, **options}
     reader = reader.options(**options)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.format(fmt).load(paths)
 
 
+def _read_csv(spark: SparkSession, paths: list[str], schema, options: dict) -> DataFrame:
+    """Cells as text first, then missing values, then the types: given ones, or the narrowest that fit."""
+    quote = options.get("quote", '"')
+    if options.get("multiLine") is None:
+        lines = spark.read.text(paths)
+        odd = (F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))) % 2 == 1
+        options = {**options, "multiLine": not lines.where(odd).limit(1).isEmpty()}
+    options = {"header": True, "escape": quote, "mode": "FAILFAST", "inferSchema": False, **options}
+    infer = schema is None
+    reader = spark.read.options(**options)
+    if isinstance(schema, str):
+        schema = spark.createDataFrame([], schema).schema
+    if not infer:
+        reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]))
+    cells = reader.csv(paths)
+    cells = cells.select(*[F.when(~col(c).isin(*MISSING), col(c)).alias(c) for c in cells.columns])
+    if infer:
+        kinds = infer_types(cells)
+        return cells.select(*[col(c).cast(kinds[c]).alias(c) for c in cells.columns])
+    return cells.select(*[col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def infer_types(cells: DataFrame) -> dict[str, str]:
+    """For each text column the first type that every present value fits (boolean, integers, double, date,
+    timestamp), else string; one aggregation over all rows."""
+    checks = {}
+    for i, c in enumerate(cells.columns):
+        checks[f"n{i}"] = F.count(col(c))
+        checks[f"boolean{i}"] = F.count(F.when(F.lower(F.trim(col(c))).isin("true", "false"), 1))
+        for kind in KINDS:
+            checks[f"{kind}{i}"] = F.count(F.when(col(c).rlike("[0-9]"), col(c).try_cast(kind)))
+    row = fit_row(cells, checks) if cells.columns else {}
+    return {
+        c: next((k for k in ("boolean", *KINDS) if row[f"n{i}"] and row[f"{k}{i}"] == row[f"n{i}"]), "string")
+        for i, c in enumerate(cells.columns)
+    }
+
+
 def read_many(spark: SparkSession, paths: Sequence[str], fmt: str | None = None, **options) -> DataFrame:
     """Union of files whose columns come in different orders or partly lack."""
     tables = [read_table(spark, p, fmt, **options) for p in paths]

@@ -9,8 +9,8 @@ from ..plans.tall import fit_row, tall_aggregate
 
 # Value ranges of the signed integer types, smallest first.
 INTEGERS = (("tinyint", 2**7), ("smallint", 2**15), ("int", 2**31), ("bigint", 2**63))
-# Distinct share below which text counts as categorical.
-SHARE, LARGE_SHARE, LARGE_ROWS = 0.5, 0.1, 1_000_000
+# Fixed value: distinct share below which text counts as categorical.
+SHARE = 0.5
 
 
 def narrow_integers(df: DataFrame, columns="all") -> DataFrame:
@@ -41,16 +41,15 @@ def narrow_floats(df: DataFrame, columns="all") -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def detect_categoricals(df: DataFrame, columns="all", approximate: bool = False) -> DataFrame:
+def detect_categoricals(df: DataFrame, columns="all", approximate: bool = False, share: float = SHARE) -> DataFrame:
     """``(column, distinct, rows, is_categorical)`` for the string columns: categorical
-    when distinct/rows is below one half (one tenth above a million rows)."""
+    when distinct/rows is below ``share``."""
     names = string_columns(df, columns)
     require_some(names, "string columns")
     count = F.approx_count_distinct if approximate else F.count_distinct
     tall = tall_aggregate(df, {
         c: {"distinct": count(present(df, c)), "rows": F.count(F.lit(1))} for c in names
     })
-    limit = F.when(F.col("rows") > LARGE_ROWS, LARGE_SHARE).otherwise(SHARE)
     return tall.withColumn(
-        "is_categorical", F.coalesce(F.try_divide(F.col("distinct"), F.col("rows")) < limit, F.lit(False))
+        "is_categorical", F.coalesce(F.try_divide(F.col("distinct"), F.col("rows")) < share, F.lit(False))
     )
