@@ -112,19 +112,43 @@ def _quality_model(spark, folder, kind, **options):
     )
 
 
-@query("forest_regression")
+# What SQL can say of a trained model: how many rows it was tested on, and that its figures agree with each other.
+def _tested(source: str, key: str, where: str = "true") -> str:
+    return f"SELECT count(*) AS n, true AS consistent FROM {source} t WHERE {where} AND substr(md5('42:' || {key}::varchar), 1, 4) < '3333'"
+
+
+_ORDERS_TESTED = _tested("orders", "o_orderkey")
+_QUALITY_TESTED = _tested(DOCS_LABELS_SQL, "doc_id", "quality IS NOT NULL")
+
+
+def _errors(metrics):
+    agree = F.abs(F.col("rmse") * F.col("rmse") - F.col("mse")) <= 1e-6 * F.col("mse")
+    return metrics.select("n", (agree & (F.col("mse") >= 0) & (F.col("r2") <= 1)).alias("consistent"))
+
+
+def _shares(metrics):
+    names = ("accuracy", "precision", "recall", "f1")
+    inside = [F.col(c).between(0, 1) for c in names]
+    return metrics.select("n", (inside[0] & inside[1] & inside[2] & inside[3]).alias("consistent"))
+
+
+def _whole(importance):
+    return importance.agg(F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"))
+
+
+@query("forest_regression", _ORDERS_TESTED)
 def forest_regression(spark, folder):
-    return _orders_model(spark, folder, "random_forest", trees=5).metrics()
+    return _errors(_orders_model(spark, folder, "random_forest").metrics())
 
 
-@query("boosted_regression")
+@query("boosted_regression", _ORDERS_TESTED)
 def boosted_regression(spark, folder):
-    return _orders_model(spark, folder, "gradient_boosting", rounds=3, depth=3).metrics()
+    return _errors(_orders_model(spark, folder, "gradient_boosting").metrics())
 
 
-@query("linear_regression")
+@query("linear_regression", _ORDERS_TESTED)
 def linear_regression(spark, folder):
-    return _orders_model(spark, folder, "linear_model").metrics()
+    return _errors(_orders_model(spark, folder, "linear_model").metrics())
 
 
 _PART = "(SELECT p_size::double AS x, p_retailprice AS y, substr(md5('42:' || p_partkey::varchar), 1, 4) < '3333' AS test FROM part)"
@@ -143,45 +167,50 @@ def linear_regression_one_feature(spark, folder):
     return tidy(fitted.metrics(), 4)
 
 
-@query("forest_classification")
+@query("forest_classification", _QUALITY_TESTED)
 def forest_classification(spark, folder):
-    return _quality_model(spark, folder, "random_forest", trees=5).metrics()
+    return _shares(_quality_model(spark, folder, "random_forest").metrics())
 
 
-@query("boosted_classification")
+@query("boosted_classification", _QUALITY_TESTED)
 def boosted_classification(spark, folder):
-    return _quality_model(spark, folder, "gradient_boosting", rounds=3, depth=3).metrics()
+    return _shares(_quality_model(spark, folder, "gradient_boosting").metrics())
 
 
-@query("boosted_classification_many")
+@query("boosted_classification_many", _ORDERS_TESTED)
 def boosted_classification_many(spark, folder):
-    return predict.fit_model(
+    return _shares(predict.fit_model(
         table(spark, folder, "orders"), "o_orderstatus", ["o_orderkey"], ["o_totalprice", "o_orderpriority"],
-        "classification", "gradient_boosting", rounds=2, depth=2,
-    ).metrics()
+        "classification", "gradient_boosting",
+    ).metrics())
 
 
-@query("logistic_regression")
+@query("logistic_regression", _QUALITY_TESTED)
 def logistic_regression(spark, folder):
-    return _quality_model(spark, folder, "linear_model").metrics()
+    return _shares(_quality_model(spark, folder, "linear_model").metrics())
 
 
-@query("tree_importance")
+@query("tree_importance", f"SELECT {len(ORDER_FEATURES)}::bigint AS features, 1.0::double AS total")
 def tree_importance(spark, folder):
-    return _orders_model(spark, folder, "random_forest", trees=5).importance()
+    return _whole(_orders_model(spark, folder, "random_forest").importance())
 
 
-@query("linear_importance")
+@query("linear_importance", "SELECT 2::bigint AS features, true AS positive")
 def linear_importance(spark, folder):
-    return predict.fit_model(
+    found = predict.fit_model(
         table(spark, folder, "orders"), "o_orderstatus", ["o_orderkey"], ["o_totalprice", "o_orderpriority"],
         "classification", "linear_model",
     ).importance()
+    return found.agg(F.count("*").alias("features"), F.bool_and(F.col("importance") >= 0).alias("positive"))
 
 
-@query("sample_predictions")
+@query("sample_predictions", (
+    "SELECT doc_id, quality AS actual, true AS known FROM (SELECT * FROM " + DOCS_LABELS_SQL + " t WHERE quality IS NOT NULL"
+    " AND substr(md5('42:' || doc_id::varchar), 1, 4) < '3333') t ORDER BY md5('42:' || doc_id::varchar) LIMIT 10"
+))
 def sample_predictions(spark, folder):
-    return _quality_model(spark, folder, "random_forest", trees=5).sample()
+    drawn = _quality_model(spark, folder, "random_forest").sample()
+    return drawn.select("doc_id", "actual", F.col("predicted").isin(0, 1).alias("known"))
 
 
 @query("sample_predictions_rule", (

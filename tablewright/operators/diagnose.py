@@ -123,7 +123,7 @@ def flag_significant(associations: DataFrame, alpha: float = ALPHA) -> DataFrame
 
 
 def feature_importance(
-    df: DataFrame, target_column: str, columns="all", trees: int = 20, depth: int = 5, seed: int = 42,
+    df: DataFrame, target_column: str, columns="all", trees: int = 100, depth: int = 5, seed: int = 42,
 ) -> DataFrame:
     """``(feature, importance, place)`` from a random forest on complete rows; string
     features enter as codes. Importances sum to one."""

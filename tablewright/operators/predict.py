@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
@@ -22,6 +22,8 @@ from .diagnose import CLASS_LIMIT
 
 # Usual share of test rows, seed, forest size and boosting rounds.
 TEST_SIZE, SEED, TREES, ROUNDS = 0.2, 42, 100, 100
+DEPTHS = {"gradient_boosting": 3}   # others 5
+CLASSES = 1000                      # most classes of a target, unless the caller names another number
 REGRESSION, CLASSIFICATION = "regression", "classification"
 MAX_FEATURE_LEVELS = 10_000   # string levels an indexer may hold on the driver
 
@@ -192,7 +194,7 @@ class Fitted:
     def metrics(self) -> DataFrame:
         if self.problem_type == REGRESSION:
             return regression_metrics(self.predictions)
-        return classification_metrics(self.predictions)
+        return classification_metrics(self.predictions, labels=self.labels)
 
     def importance(self) -> DataFrame:
         return model_importance(self)
@@ -204,9 +206,10 @@ class Fitted:
 def fit_model(
     df: DataFrame, target_column: str, keys: Sequence[str], columns="all", problem_type: str = REGRESSION,
     model_type: str = "random_forest", test_size: float = TEST_SIZE, seed: int = SEED, trees: int = TREES,
-    rounds: int = ROUNDS, depth: int = 5,
+    rounds: int = ROUNDS, depth: int | None = None, max_classes: int = CLASSES,
 ) -> Fitted:
-    """Train on the rows outside the test share and predict the test rows.
+    """Train on the rows outside the test share and predict the test rows. Trees are 5 deep, boosted ones
+    3, unless ``depth`` says otherwise; a target of more than ``max_classes`` classes is an error.
 
     ``keys`` identify a row; they decide the split and never enter the model. The
     prepared training rows are persisted only while the model is fitted.
@@ -218,9 +221,9 @@ def fit_model(
     labels = None
     if problem_type == CLASSIFICATION:
         found = train.select(present(data, target_column).alias("v")).where("v is not null").distinct()
-        labels = tuple(sorted(r["v"] for r in found.limit(1001).collect()))
-        if not 2 <= len(labels) <= 1000:
-            raise ValueError("classification needs between 2 and 1000 classes")
+        labels = tuple(sorted(r["v"] for r in found.limit(max_classes + 1).collect()))
+        if not 2 <= len(labels) <= max_classes:
+            raise ValueError(f"classification needs between 2 and {max_classes} classes")
         values = F.array(*[F.lit(v) for v in labels])
         label = (F.array_position(values, col(target_column)) - 1).cast("double")
     else:
@@ -229,7 +232,8 @@ def fit_model(
     prepared = preparation(typed, layout)
     ready = prepared.transform(typed).select("features", "__label").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        learner = _learner(problem_type, model_type, len(labels or ()), trees, rounds, depth, seed)
+        deep = DEPTHS.get(model_type, 5) if depth is None else depth
+        learner = _learner(problem_type, model_type, len(labels or ()), trees, rounds, deep, seed)
         model = learner.fit(ready)
     finally:
         ready.unpersist()
@@ -262,14 +266,17 @@ def confusion(predictions: DataFrame, actual: str = "actual", predicted: str = "
 
 
 def classification_metrics(
-    predictions: DataFrame, actual: str = "actual", predicted: str = "predicted", positive=None,
+    predictions: DataFrame, actual: str = "actual", predicted: str = "predicted", positive=None, labels: Sequence | None = None,
 ) -> DataFrame:
     """One row ``(n, classes, accuracy, precision, recall, f1)``.
 
     Two classes: precision, recall and F1 of ``positive`` (the larger label unless
-    given). More: averages over the classes weighted by their true size. The data is
+    given). More: averages over the classes weighted by their true size. ``labels``, the sorted
+    classes of the model, decide both where the rows at hand lack some. The data is
     reduced to the confusion table first.
     """
+    if positive is None and labels is not None and len(labels) == 2:
+        positive = labels[-1]
     cells = confusion(predictions, actual, predicted)
     sides = cells.select(F.inline(F.array(
         F.struct(F.col("actual").alias("label"), F.col("n").alias("truth"), F.lit(0).cast("long").alias("called"),
@@ -291,7 +298,7 @@ def classification_metrics(
         *([F.max_by(c, "label").alias(f"{c}_one") for c in "prf"] if positive is None else
           [F.coalesce(F.max(F.when(F.col("label") == F.lit(positive), F.col(c))), F.lit(0.0)).alias(f"{c}_one") for c in "prf"]),
     )
-    many = F.col("classes") > 2
+    many = F.lit(len(labels) > 2) if labels is not None else F.col("classes") > 2
     return row.select("n", "classes", "accuracy", *[
         F.when(many, F.col(f"{c}_all")).otherwise(F.col(f"{c}_one")).alias(name)
         for c, name in zip("prf", ("precision", "recall", "f1"))
@@ -342,8 +349,10 @@ def forest_importance(df: DataFrame, target_column: str, columns, trees: int, de
     classify = text or kinds < CLASS_LIMIT
     if classify:
         data = data.withColumn("__target", col(target_column).cast("string"))
-        label = StringIndexer(inputCol="__target", outputCol="__label", stringOrderType="alphabetAsc")
-        data = label.fit(data).transform(data)
+        names = sorted(r[0] for r in data.select("__target").distinct().limit(CLASSES + 1).collect())
+        if len(names) > CLASSES:
+            raise ValueError(f"a forest needs at most {CLASSES} classes")
+        data = StringIndexerModel.from_labels(names, "__target", "__label").transform(data)
     else:
         data = data.withColumn("__label", as_double(data, target_column))
     typed = _typed(data, layout)
