@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..plans.durable import fresh_path
 
 SLICE_BYTES = 2 << 20     # text handled at once by numpy; a longer text is a slice of its own
-BATCH_ROWS = 1_000        # rows of an Arrow batch, so that long texts do not add up
+BATCH_ROWS = 400          # rows of an Arrow batch, so that long texts do not add up
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -24,11 +24,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """Bound the rows of the Arrow batches that Python tasks get."""
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bound the rows of the Arrow batches that Python tasks get, for the whole session."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df
 
 

@@ -128,7 +128,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataF
                 linked.append(shared > 0 and 100 * shared >= percent * (len(one) + len(two) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return small_batches(both, 100).mapInArrow(judge, pairs.select("a", "b").schema).distinct()
+    return small_batches(both).mapInArrow(judge, pairs.select("a", "b").schema).distinct()
 
 
 def _set_of(text: str, size: int) -> np.ndarray:

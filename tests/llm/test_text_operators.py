@@ -410,3 +410,48 @@ def test_best_chain():
             min(chains.SEED, xs[b] - xs[a], ys[b] - ys[a]) - chains.GAP * (xs[b] - xs[a] + ys[b] - ys[a]) for a, b in zip(path, path[1:]))
         assert value == pytest.approx(max(best)) or value <= max(best)
         assert all(xs[a] < xs[b] and ys[a] < ys[b] for a, b in zip(path, path[1:]))
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    items = [words_of(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    windows = {tuple(w[i:i + min(13, len(w))]) for w in items if w for i in range(max(1, len(w) - 12))}
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        got = {r.doc_id: r.text for r in out.collect()}
+        if name == "language_id":
+            assert set(got) == {i for i, t in kept.items() if re.search(r"[^\W\d_]", t or "")}
+        if name == "near_dedup":
+            parent = {i: i for i in kept}
+            sets = {i: shingles(t, 5) for i, t in kept.items()}
+            for a in sorted(kept):
+                for b in sorted(kept):
+                    if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                        low, high = sorted((parent[a], parent[b]))
+                        parent = {i: low if p == high else p for i, p in parent.items()}
+            assert set(got) == {i for i, p in parent.items() if i == p}
+        if name == "decontamination":
+            for i, t in kept.items():
+                w, hit = words_of(t), set()
+                for size in {len(k) for k in windows}:
+                    for k in range(len(w) - size + 1):
+                        if tuple(w[k:k + size]) in windows:
+                            hit |= set(range(k, k + size))
+                assert (i in got) == (not hit or 20 * len(hit) < len(w))
+        if name == "pii":
+            assert set(got) == set(kept)
+            for i, t in kept.items():
+                spans = base_spans(t)
+                assert got[i] == t if not re.search("[0-9@]", t) else not spans or "[" in got[i]
+        docs, kept = spark.createDataFrame(out.collect(), docs.schema), got
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert {r.doc_id for r in pieces} == set(kept)
+    totals = Counter()
+    for r in pieces:
+        totals[r.doc_id] += r.length
+    assert all(totals[r.doc_id] == r.doc_tokens for r in pieces)
