@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import LOWER, byte_table, fresh_name, hash_ranges, map_texts, stored, texts_of, word_spans
 
 WINDOW = 13
-BLOCK_BYTES = 8 << 20        # benchmark text whose windows one task holds (about 20 bytes of table a word)
+BLOCK_BYTES = 2 << 20        # benchmark text whose windows one task holds: about 100 bytes of table for each byte
 WORDS = byte_table(words=True)
 GRAM_BASE = np.uint64(0xA0761D6478BD642F)
 
