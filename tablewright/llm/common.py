@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..plans.durable import fresh_path
 
-SLICE_BYTES = 2 << 20     # text handled at once by numpy; a longer text is a slice of its own
+SLICE_BYTES = 1 << 20     # text handled at once by numpy; a longer text is a slice of its own
 BATCH_ROWS = 400          # rows of an Arrow batch, so that long texts do not add up
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD6E8FEB86659FD93)

@@ -20,7 +20,7 @@ BLOCK_TOKENS = 1 << 20       # tokens optimised at once; the open window goes ov
 SENTENCE_COST = 8            # padding tokens that a cut inside a document, but after a sentence, is worth
 TOKEN_COST = 24              # the same for a cut inside a sentence
 SPACING = 32                 # tokens between the cuts offered inside a long sentence
-CACHED_WORDS = 400_000       # words whose ids a worker remembers
+CACHED_WORDS = 250_000       # words whose ids a worker remembers
 
 # What the word vocabulary does to a text, as its file states it.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -298,7 +298,7 @@ def pack(
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encoder = _encoder(tokenizer)
+        encoder = Encoder(tokenizer)              # for this task only: a worker may go on to other work
         packer = Packer(encoder.stops, length, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], np.uint32)
         for batch in batches:
@@ -313,15 +313,6 @@ def pack(
     return small_batches(rows).mapInArrow(run, schema)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def _encoder(name: str) -> Encoder:
-    if name not in _encoders:
-        _encoders[name] = Encoder(name)
-    return _encoders[name]
-
-
 def _pieces(rows: list[tuple], schema: T.StructType, id_type: str):
     if rows:
         from pyspark.sql.pandas.types import to_arrow_schema

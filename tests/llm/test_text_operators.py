@@ -352,7 +352,7 @@ def test_encoder_matches_the_tokenizer(seed):
     rng = np.random.default_rng(seed)
     signs = list("abcXYZéÉßøÅ019½² .,!?'\"-\n\t@#") + ["'s", "'LL", " the ", "ſ", "İ", "Σ", "é", "日", "\x85", " ", "\x1c", "\U0001d400"]
     texts = ["".join(rng.choice(signs if k % 2 else signs[:34], 60)) for k in range(80)] + ["", " ", "''s's 've'"]
-    encoder = packing._encoder("word_bpe_49k.json")
+    encoder = packing.Encoder("word_bpe_49k.json")
     assert encoder.by_word
     for ids, t in zip(encoder.encode(texts), texts):
         assert ids.tolist() == encoder.inner.encode(t, add_special_tokens=False).ids
