@@ -109,16 +109,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _page_text_sql(html: str) -> str:
-    """The steps of warc.plain_text as SQL."""
-    t = f"regexp_replace({html}, '(?s)<!--.*?(-->|\\z)', ' ', 'g')"
-    for name in warc.SKIPPED:
-        t = f"regexp_replace({t}, '(?is)<{name}\\b.*?(</{name}\\s*>|\\z)', ' ', 'g')"
-    t = f"regexp_replace({t}, '(?is)<head\\b.*?</head\\s*>', ' ', 'g')"
-    t = f"regexp_replace({t}, '(?i)</?({'|'.join(warc.LINES)})\\b[^>]*>', chr(10), 'g')"
-    t = f"regexp_replace({t}, '<[/!?a-zA-Z][^>]*(>|\\z)', '', 'g')"
-    t = f"regexp_replace({_characters_sql(t)}, '[ \\t\\r\\f\\x0B\\x{{A0}}]+', ' ', 'g')"
-    t = f"regexp_replace(regexp_replace({t}, ' ?\\n ?', chr(10), 'g'), '\\n+', chr(10), 'g')"
-    return f"regexp_replace({t}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+    """The steps of warc.without_markup, characters and narrowed as SQL."""
+    t = f"regexp_replace(regexp_replace({html}, '{warc.GONE}', ' ', 'g'), '{warc.LINE}', chr(10), 'g')"
+    t = _characters_sql(f"regexp_replace({t}, '{warc.TAG}', '', 'g')")
+    t = f"regexp_replace(regexp_replace({t}, '{warc.BLANK}', ' ', 'g'), '{warc.BREAK}', chr(10), 'g')"
+    return f"trim({t}, ' ' || chr(10))"
 
 
 def _characters_sql(text: str) -> str:

@@ -39,17 +39,22 @@ def characters(text: Column) -> Column:
     return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
-def plain_text(html: Column) -> Column:
-    """Text of a page: no comments, head, scripts or tags; a line for each block, white space narrowed."""
-    t = F.regexp_replace(html, r"(?s)<!--.*?(-->|\z)", " ")
-    for name in SKIPPED:
-        t = F.regexp_replace(t, rf"(?is)<{name}\b.*?(</{name}\s*>|\z)", " ")
-    t = F.regexp_replace(t, r"(?is)<head\b.*?</head\s*>", " ")
-    t = F.regexp_replace(t, rf"(?i)</?({'|'.join(LINES)})\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[/!?a-zA-Z][^>]*(>|\z)", "")
-    t = F.regexp_replace(characters(t), r"[ \t\r\f\x0B\x{A0}]+", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), r"\n+", "\n")
-    return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
+# What goes with its content; the head too, if it ends. Patterns mean the same to Java and to RE2.
+GONE = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(rf"<{n}\b.*?(?:</{n}\s*>|\z)" for n in SKIPPED) + r"|<head\b.*?</head\s*>"
+LINE = rf"(?i)</?(?:{'|'.join(LINES)})\b[^>]*>"
+TAG = r"<[/!?a-zA-Z][^>]*(?:>|\z)"
+BLANK = r"[ \t\r\f\x0B\x{A0}]{2,}|[\t\r\f\x0B\x{A0}]"       # a single space stays as it is
+BREAK = r" ?\n[ \n]*"
+
+
+def without_markup(html: Column) -> Column:
+    """No comments, head, scripts or tags; a line for each block."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, GONE, " "), LINE, "\n"), TAG, "")
+
+
+def narrowed(text: Column) -> Column:
+    """Runs of white space as one space or one line end, none at the ends."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, BLANK, " "), BREAK, "\n"), F.lit(" \n"))
 
 
 def one_line(text: Column) -> Column:
@@ -88,13 +93,15 @@ def derive(
     )
     given = F.filter(F.map_entries("source_headers"), lambda e: F.lower(e["key"]) == "warc-payload-digest")
     link = F.regexp_extract_all("html", F.lit(r'(?i)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"'), F.lit(1))
+    # One step at a time: what a later step reads more than once is then computed once.
     rows = rows.select(
-        *carry, "refers_to", "target_uri", "date", plain_text(F.col("html")).alias("text"), link.alias("links"),
+        *carry, "refers_to", "target_uri", "date", without_markup(F.col("html")).alias("bare"), link.alias("links"),
         F.coalesce(F.get(given, 0)["value"], digest(F.col("html"))).alias("source_digest"),
         characters(one_line(F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))).alias("title"),
         F.lower(F.regexp_extract("html", r'(?i)<html\b[^>]*?\blang\s*=\s*"?([A-Za-z0-9-]+)', 1)).alias("lang"),
         F.array_sort(F.map_entries("source_headers")).alias("source"),
     )
+    rows = rows.withColumn("text", characters(F.col("bare"))).withColumn("text", narrowed(F.col("text")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(END))     # noqa: E731
     about = F.concat(
         line("title", F.col("title")), line("language", F.col("lang")), line("characters", F.length("text").cast("string")),
