@@ -455,3 +455,22 @@ def test_pipeline_stages(spark):
     for r in pieces:
         totals[r.doc_id] += r.length
     assert all(totals[r.doc_id] == r.doc_tokens for r in pieces)
+
+
+def edited_found(n, edits, seed):
+    """Whether a passage of ``n`` words and its copy with ``edits`` of the inner words changed is found between other words."""
+    rng = np.random.default_rng(seed)
+    one, two = (rng.integers(0, 1 << 32, 400).astype(np.uint64) for _ in range(2))
+    two[150:150 + n] = one[100:100 + n]
+    two[150 + (np.arange(4, n - 1, 5) if edits == "fifth" else 1 + rng.choice(n - 2, edits, replace=False))] ^= np.uint64(1 << 40)
+    two = np.where(two >> np.uint64(40) > 0, two & np.uint64(0xFFFFFFFF) ^ np.uint64(0x5A5A5A5A), two)
+    (k1, p1), (k2, p2) = chains.seeds_of(one), chains.seeds_of(two)
+    _, i, j = np.intersect1d(k1, k2, return_indices=True)
+    order = np.argsort(p2[j])
+    pairs = [(two, one, seeds) for seeds in chains.passages(p2[j][order], p1[i][order])]
+    return any(a <= 160 and b >= 140 + n for _, a, b, *_ in chains.align(pairs))
+
+
+@pytest.mark.parametrize("n, edits, least", [(50, 1, 100), (50, 5, 99), (60, 6, 99), (60, 12, 85), (80, 16, 90), (120, 24, 95), (120, "fifth", 80)])
+def test_recall_of_edited_passages(n, edits, least):
+    assert sum(edited_found(n, edits, seed) for seed in range(100)) >= least
