@@ -394,6 +394,18 @@ def test_chains(spark, docs):
     assert chains.fuzzy_passages(docs.limit(0)).count() == 0
 
 
+def test_chains_of_further_holders_and_places(spark):
+    """Halves of a passage that come first in different documents; a passage twice, and after a quotation from it."""
+    passage, other = prose(80, 90, 10**6).split(), prose(81, 70, 10**6).split()
+    rows = [
+        (1, " ".join([prose(82, 30, 10**6), *passage[:45], prose(83, 30, 10**6)])), (2, " ".join([prose(84, 30, 10**6), *passage[45:], prose(85, 30, 10**6)])),
+        (3, " ".join([prose(86, 30, 10**6), *passage, prose(87, 30, 10**6)])), (4, " ".join([prose(88, 40, 10**6), *passage, prose(89, 30, 10**6)])),
+        (5, " ".join([prose(90, 30, 10**6), *other])), (6, " ".join([*other[20:35], prose(91, 50, 10**6), *other, prose(92, 50, 10**6), *other])),
+    ]
+    got = chains.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), chunk_bytes=500, bucket_keys=100).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.source_id, r.source_start) for r in got} == {(4, 40, 130, 3, 30), (6, 65, 135, 5, 30), (6, 185, 255, 5, 30)}
+
+
 def test_best_chain():
     for seed in range(20):
         rng = np.random.default_rng(seed)
