@@ -16,6 +16,7 @@ SHINGLE = 4
 BANDS, ROWS = 50, 6                   # a pair of similarity 0.8 shares no band with probability 3e-7
 MINIMA = 1024                         # of which the first BANDS * ROWS make the bands
 LONGS = MINIMA // 64                  # of one bit plane; two low bits are kept of each minimum
+FEW = 64                              # shingles; the estimate does not judge pairs with a smaller set
 AGREE = 0.25                          # chance that two different minima have the same two bits
 FLOOR = 0.735                         # estimates below it are 4.4 deviations under 0.8
 PIVOTS = 1024                         # members of a bucket compared with all others in one round
@@ -71,7 +72,10 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         banded = (banded ^ (banded >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)
         banded = ((banded ^ (banded >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
         bits = np.zeros((2, len(sets), LONGS * 64), np.uint8)
-        bits[0], bits[1] = least & 1, least >> 1 & 1
+        low = (least ^ (least >> np.uint32(16))) * np.uint32(0x85EBCA6B)     # the low bits of a minimum alone depend on two bits of its shingle
+        low = (low ^ (low >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        low ^= low >> np.uint32(16)
+        bits[0], bits[1] = low & 1, low >> 1 & 1
         planes = np.packbits(bits, axis=2).view(np.int64)
         n = np.array([len(s) for s in sets])
         k0 = [int(s.sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
@@ -95,9 +99,9 @@ def estimate(a: str, b: str) -> Column:
 
 
 def _plausible(a: str, b: str, percent: int) -> Column:
-    """Sizes and estimate leave a similarity of ``percent`` possible."""
+    """Sizes and estimate leave a similarity of ``percent`` possible; small sets are left to the exact comparison."""
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (small * 100 >= large * percent) & (estimate(a, b) >= FLOOR - 0.8 + percent / 100)
+    return (small * 100 >= large * percent) & ((small < FEW) | (estimate(a, b) >= FLOOR - 0.8 + percent / 100))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:

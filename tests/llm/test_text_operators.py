@@ -287,6 +287,13 @@ def test_near_duplicates(spark, docs, pivots, monkeypatch):
             assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], want[r.doc_id][1] == r.doc_id)
 
 
+def test_short_texts_of_similarity_080_stay_linked(spark):
+    """Seven words and the same with one appended: 4 shingles of 5, similarity 0.8 exactly."""
+    rows = [(2 * i + k, f"{text} more{i}" if k else text) for i in range(300) for text in [prose(1000 + i, 7, 10**6)] for k in (0, 1)]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(d, d - d % 2) for d, _ in rows}
+
+
 def test_keep_one(spark, docs):
     kept = near_duplicates.keep_one(docs, size=5)
     assert kept.columns == docs.columns
