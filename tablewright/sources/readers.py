@@ -3,7 +3,11 @@ are read in parallel by ``spark.sql.files.maxPartitionBytes``."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
+
+import pandas as pd
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -21,7 +25,6 @@ MISSING = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
     "NaN", "None", "n/a", "nan", "null",
 )
-PRETTY = ("[", "{", "[{")     # a first line of JSON that does not hold a whole record
 KINDS = ("int", "bigint", "double", "date", "timestamp")
 
 
@@ -42,7 +45,8 @@ def read_table(
     extra time. CSV quotes are doubled inside quotes, the usual words for a missing value are
     null, and a row of the wrong width, or a value that does not fit its column, is an error
     rather than a null. Quoted line breaks are looked for first (``multiLine=False``
-    saves that scan). JSON takes arrays, pretty-printed or not, and JSON lines.
+    saves that scan). JSON takes arrays and objects, pretty-printed or not, one after the other or not, and JSON lines, each
+    file in its own form, which a scan of all files finds (``multiLine`` given saves that scan).
     """
     first = path if isinstance(path, str) else path[0]
     fmt = fmt or format_of(first)
@@ -61,15 +65,101 @@ def read_table(
     if fmt == "xml":
         options = {"rowTag": "row", **options}
     if fmt == "json":
-        start = [r["value"].strip() for r in reader.text(paths[0]).take(20)]
-        pretty = next((line for line in start if line), "") in PRETTY
-        options = {"mode": "FAILFAST", "multiLine": pretty, **options}
+        return _read_json(spark, paths, schema, options)
     reader = reader.options(**options)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.format(fmt).load(paths)
 
 
+def json_records(text: str) -> Iterator[str]:
+    """The records of JSON values one after the other, as written; elements of outer arrays are records."""
+    decode, at, inside = json.JSONDecoder().raw_decode, 0, False
+    comma = False                                           # whether an element of an array was read before
+    while True:
+        while at < len(text) and text[at] in " \t\r\n\ufeff":
+            at += 1
+        if at == len(text):
+            if inside:
+                raise ValueError("JSON ends within an array")
+            return
+        if not inside and text[at] == "[":
+            inside, comma, at = True, False, at + 1
+        elif inside and text[at] == "]":
+            inside, at = False, at + 1
+        elif inside and comma and text[at] == ",":
+            comma, at = False, at + 1
+            while at < len(text) and text[at] in " \t\r\n":
+                at += 1
+            if text[at:at + 1] == "]":
+                raise ValueError(f"no value after a comma at {at}")
+        elif inside and comma:
+            raise ValueError(f"no comma between values at {at}")
+        else:
+            _, end = decode(text, at)
+            yield text[at:end]
+            at, comma = end, True
+
+
+def _read_json(spark: SparkSession, paths: list[str], schema, options: dict) -> DataFrame:
+    """Files of lines and files of one value go to Spark's readers; several values in a file, or files of both forms, are
+    parted into records first."""
+    options = {"mode": "FAILFAST", **options}
+    known = spark.read.options(**options)
+    if schema is not None:
+        known = known.schema(schema)
+    if "multiLine" in options:
+        return known.json(paths)
+    spots = {k: options[k] for k in ("recursiveFileLookup", "pathGlobFilter", "basePath", "modifiedBefore", "modifiedAfter") if k in options}
+    lines = spark.read.options(**spots).text(paths)
+
+    def whole(batches):
+        for batch in batches:
+            batch["whole"] = [_whole(v) for v in batch.pop("value")]
+            yield batch.dropna(subset=["whole"])
+
+    place = F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
+    full = lines.select("value", F.col("_metadata.file_path").alias("path"), *place).mapInPandas(whole, "path string, block long, line long, whole boolean")
+    forms = full.groupBy("path").agg(F.min("whole").alias("every"), F.min_by("whole", F.struct("block", "line")).alias("first")).collect()
+    strict = options["mode"].upper() == "FAILFAST"
+    is_lines = {r["path"]: r["every"] if strict else r["first"] for r in forms}
+    if all(is_lines.values()):
+        return known.json(paths)
+    if not strict:
+        if any(is_lines.values()):
+            raise ValueError("files of JSON lines and of other JSON in one table need mode FAILFAST")
+        return known.option("multiLine", True).json(paths)
+    flat, other = ([unquote(p) for p, f in is_lines.items() if bool(f) == want] for want in (True, False))
+    texts = spark.read.options(**spots).text(other, wholetext=True).select("value")
+
+    def count(batches):
+        for batch in batches:
+            yield pd.DataFrame({"several": [_several(v) for v in batch["value"]]})
+
+    if not flat and texts.mapInPandas(count, "several boolean").where("several").limit(1).isEmpty():
+        return known.option("multiLine", True).json(paths)
+    folders = [c for c in lines.columns if c != "value"]
+    if folders:
+        raise ValueError(f"files of several JSON forms in partition folders ({', '.join(folders)}) are not read")
+    if flat:
+        texts = texts.unionByName(spark.read.options(**spots).text(flat).select("value"))
+    return known.json(texts.rdd.flatMap(lambda r: json_records(r["value"])))
+
+
+def _whole(line: str) -> bool | None:
+    """Whether a line is one JSON value; None if it is blank."""
+    try:
+        return json.loads(line.lstrip("\ufeff")) is not None if line.strip(" \t\r\n\ufeff") else None
+    except ValueError:
+        return False
+
+
+def _several(text: str) -> bool:
+    """Whether a text holds more than one JSON value, the elements of an array not counted."""
+    text = text.strip(" \t\r\n\ufeff")
+    return json.JSONDecoder().raw_decode(text)[1] < len(text) if text else False
+
+
 def _read_csv(spark: SparkSession, paths: list[str], schema, options: dict) -> DataFrame:
     """Cells as text first, then missing values, then the types: given ones, or the narrowest that fit."""
     quote = options.get("quote", '"')

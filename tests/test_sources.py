@@ -41,6 +41,21 @@ def test_json(spark, people, tmp_path):
         assert sorted(map(tuple, got.collect())) == want
 
 
+def test_json_of_each_file_in_its_own_form(spark, tmp_path):
+    records = [{"a": i, "b": f"x{i} }}{{ ]"} for i in range(8)]
+    (tmp_path / "a.json").write_text("\n".join(json.dumps(r, indent=2) for r in records[:2]))
+    (tmp_path / "b.json").write_text("\n".join(json.dumps(r) for r in records[2:4]))
+    (tmp_path / "c c.json").write_text(json.dumps(records[4:6], indent=2))
+    (tmp_path / "d.json").write_text(json.dumps(records[6:8]) + "\n\n")
+    want = [(r["a"], r["b"]) for r in records]
+    for schema in (None, "a long, b string"):
+        assert sorted(map(tuple, read_table(spark, str(tmp_path), "json", schema).select("a", "b").collect())) == want
+        assert read_table(spark, str(tmp_path / "a.json"), schema=schema).count() == 2
+    (tmp_path / "e.json").write_text('{\n"a": 9\n}\n{\n"a": ')
+    with pytest.raises(Exception):
+        read_table(spark, str(tmp_path), "json").count()
+
+
 def test_excel(spark, people, tmp_path):
     for i in range(3):
         (tmp_path / f"book{i}.xlsx").write_bytes(workbook_bytes(people.toPandas()))
