@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog.registry import table
-from . import chains, decontaminate, languages, near_duplicates, packing, personal_data, repeats, shards, topk, warc
+from . import (
+    chains, decontaminate, exact_copies, languages, near_duplicates, packing, periodic, personal_data, repeats, resample, shards, topk, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -210,3 +212,112 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_substring_chains")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return chains.fuzzy_passages(table(spark, folder, "documents"))
+
+
+# CRC-32 as SQL: the table of its bytes, and the checksum of a text.
+_CRC_TABLE = """crc AS MATERIALIZED (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM (SELECT unnest(range(256)) AS b)
+)"""
+
+
+def _crc32_sql(text: str) -> str:
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || hex(encode({text}))[2 * i + 1:2 * i + 2])::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+PERIODIC_SQL = rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, {_crc32_sql("doc_id::varchar")} AS h FROM documents, crc),
+e AS (SELECT doc_id, w, h, len(w) AS n, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM d),
+f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e),
+r AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 THEN list_transform(range(n), lambda i: w[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END) + 1]) ELSE w END AS w FROM f
+),
+grams AS (SELECT doc_id, n, i, w[i + 1:i + 6] AS s FROM (SELECT doc_id, n, w, unnest(range(n - 5)) AS i FROM r)),
+same AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.doc_id = b.doc_id AND a.s = b.s AND a.i < b.i AND 2 * (b.i - a.i) <= a.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same),
+wide AS (SELECT doc_id, q, min(i) AS a, max(i) + 6 + q AS b FROM islands GROUP BY doc_id, q, k HAVING max(i) + 6 + q - min(i) >= greatest(12, 2 * q)),
+runs AS (SELECT * FROM wide x WHERE NOT EXISTS (SELECT 1 FROM wide y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.a <= x.a AND y.b >= x.b)),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(a || ',' || (b - a) || ',' || q || chr(10), '' ORDER BY a, q) AS lines,
+    arg_min({{'a': a, 'n': b - a, 'q': q}}, (a - b, a, q)) AS best
+  FROM runs GROUP BY doc_id
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a + q, b)) AS i FROM runs),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS body FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::bigint AS n_runs, best.a::bigint AS start, best.n::bigint AS length, best.q::bigint AS period,
+  (1000 * best.n // best.q)::bigint AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM r LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """``docs`` with the words of about one text in ten repeated, as a checksum of its doc_id says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    w = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
+    n, g = F.size(w), F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    rest = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    body = F.array_join(F.slice(F.concat(F.slice(w, 1, a), rest), 1, n), " ")
+    some = (h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return docs.select("doc_id", F.when(some, body).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs", PERIODIC_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(_made_periodic(table(spark, folder, "documents")))
+    best = F.expr("array_max(transform(runs, r -> struct(r.length, -r.start AS start, -r.period AS period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, chr(10))), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+COPIES_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept, sha256(body) AS text_sha256
+FROM d WINDOW same AS (PARTITION BY body)
+"""
+
+
+@query("op12_exact_dedup", COPIES_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_copies.exact_duplicates(spark, f"{folder}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+RESAMPLE_SQL = f"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+source AS (SELECT doc_id, unnest(w) AS word FROM d),
+target AS (SELECT unnest({_WORDS}) AS word FROM benchmark WHERE text IS NOT NULL),
+known AS (SELECT word, {_crc32_sql("word")} % 10000 AS bucket FROM (SELECT word FROM source UNION SELECT word FROM target), crc),
+s AS (SELECT bucket, count(*) AS s FROM source JOIN known USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM target JOIN known USING (word) GROUP BY bucket),
+total AS (SELECT (SELECT count(*) FROM source) AS n, (SELECT count(*) FROM target) AS m),
+gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (n + 10000) / ((s + 1)::double * (m + 10000))))::bigint AS gain
+  FROM s LEFT JOIN t USING (bucket), total
+),
+sums AS (SELECT doc_id, sum(gain)::bigint AS total, count(*) AS n FROM source JOIN known USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+weighed AS (
+  SELECT d.doc_id, len(w)::bigint AS n_features, coalesce(floor(total::double / n), 0)::bigint AS weight,
+    ('0x' || sha256('2024:' || d.doc_id)[1:8])::bigint AS h
+  FROM d LEFT JOIN sums USING (doc_id)
+),
+scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint AS score FROM weighed),
+able AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 10 * count(*) OVER () // 100 AS drawn FROM scored WHERE n_features >= 20
+)
+SELECT s.doc_id, n_features, weight, score, rank FROM scored s LEFT JOIN (SELECT doc_id, rank FROM able WHERE rank <= drawn) a ON s.doc_id = a.doc_id
+"""
+
+
+@query("op13_importance_resampling", RESAMPLE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
