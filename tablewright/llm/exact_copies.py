@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..plans.durable import fresh_path
 from .common import stored
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Settings of the stream: state on disk, and no room set aside for logs of its many small stores.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 SPACE = r"[\x20\x09-\x0D]+"
 SHARE = 10_000          # a digest with one row in so many or more is hot: there are at most SHARE of them
 
@@ -55,12 +58,14 @@ def feed_state(
     pattern = f"{path[:-1]}[{path[-1]}]"        # a stream reads a single file only by a pattern
     rows = _located(spark.readStream.schema(schema).options(**options).parquet(pattern.rstrip("/")), doc_id, text, digest)
     groups = rows.groupBy("digest").agg(F.min("place").alias("keeper"), F.count("*").alias("size"))
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ON_DISK)
+    before = {k: spark.conf.get(k, None) for k in STATE}
     try:                                        # a stream keeps the settings it was started with
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
         run = groups.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     run.awaitTermination()
 
 
