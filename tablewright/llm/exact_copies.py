@@ -45,7 +45,7 @@ def _located(rows: DataFrame, doc_id: str, text: str, digest: Callable[[Column],
 
 def feed_state(
     spark: SparkSession, path: str, checkpoint: str, doc_id: str = "doc_id", text: str = "text",
-    digest: Callable[[Column], Column] = sha256, batch_bytes: str | None = None,
+    digest: Callable[[Column], Column] = sha256, batch_bytes: int | None = None,
 ) -> None:
     """Stream the Parquet rows at ``path`` which ``checkpoint`` has not seen yet into its keyed state, then stop.
 
@@ -77,7 +77,7 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 def exact_duplicates(
     spark: SparkSession, path: str, doc_id: str = "doc_id", text: str = "text", checkpoint: str | None = None,
-    digest: Callable[[Column], Column] = sha256, batch_bytes: str | None = None,
+    digest: Callable[[Column], Column] = sha256, batch_bytes: int | None = None,
 ) -> DataFrame:
     """One row per row of the Parquet table at ``path``: doc_id, keep_id, keep_path, keep_row, group_size, kept, text_sha256.
 

@@ -145,7 +145,7 @@ def weak(body):
     return F.encode((F.length(body) % 3).cast("string"), "utf-8")
 
 
-@pytest.mark.parametrize("how", [{}, {"digest": weak}, {"batch_bytes": "1b"}])
+@pytest.mark.parametrize("how", [{}, {"digest": weak}, {"batch_bytes": 1}])
 def test_exact_duplicates(spark, docs, tmp_path, how, monkeypatch):
     monkeypatch.setattr(exact_copies, "SHARE", 5)            # hot and cold groups
     path = f"{tmp_path}/rows.parquet"
