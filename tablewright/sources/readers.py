@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import DATETIME, col, column_roles, pick, require
 from ..plans.tall import fit_row
+from .split_csv import can_split, read_records
 from .workbooks import read_workbooks
 
 # Format by file name ending.
@@ -26,6 +27,7 @@ MISSING = (
     "NaN", "None", "n/a", "nan", "null",
 )
 KINDS = ("int", "bigint", "double", "date", "timestamp")
+SPOTS = ("recursiveFileLookup", "pathGlobFilter", "basePath", "modifiedBefore", "modifiedAfter")     # which files are read
 
 
 def format_of(path: str) -> str:
@@ -44,8 +46,8 @@ def read_table(
     Without ``schema`` CSV and JSON types are inferred from all rows, which reads the data an
     extra time. CSV quotes are doubled inside quotes, the usual words for a missing value are
     null, and a row of the wrong width, or a value that does not fit its column, is an error
-    rather than a null. Quoted line breaks are looked for first (``multiLine=False``
-    saves that scan). JSON takes arrays and objects, pretty-printed or not, one after the other or not, and JSON lines, each
+    rather than a null. Quoted line breaks are looked for first (``multiLine=False`` saves that scan);
+    files that have some are still read split by split, unless an option changes what a line is. JSON takes arrays and objects, pretty-printed or not, one after the other or not, and JSON lines, each
     file in its own form, which a scan of all files finds (``multiLine`` given saves that scan).
     """
     first = path if isinstance(path, str) else path[0]
@@ -110,7 +112,7 @@ def _read_json(spark: SparkSession, paths: list[str], schema, options: dict) ->
         known = known.schema(schema)
     if "multiLine" in options:
         return known.json(paths)
-    spots = {k: options[k] for k in ("recursiveFileLookup", "pathGlobFilter", "basePath", "modifiedBefore", "modifiedAfter") if k in options}
+    spots = {k: options[k] for k in SPOTS if k in options}
     lines = spark.read.options(**spots).text(paths)
 
     def whole(batches):
@@ -162,21 +164,32 @@ def _several(text: str) -> bool:
 
 def _read_csv(spark: SparkSession, paths: list[str], schema, options: dict) -> DataFrame:
     """Cells as text first, then missing values, then the types: given ones, or the narrowest that fit."""
-    quote = options.get("quote", '"')
-    if options.get("multiLine") is None:
-        lines = spark.read.text(paths)
-        odd = (F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))) % 2 == 1
-        options = {**options, "multiLine": not lines.where(odd).limit(1).isEmpty()}
+    quote, delimiter = options.get("quote", '"'), options.get("sep", options.get("delimiter", ","))
+    spots = {k: options[k] for k in SPOTS if k in options}
     options = {"header": True, "escape": quote, "mode": "FAILFAST", "inferSchema": False, **options}
-    infer = schema is None
-    reader = spark.read.options(**options)
     if isinstance(schema, str):
         schema = spark.createDataFrame([], schema).schema
-    if not infer:
+    records = None
+    if options.get("multiLine") is None:
+        if can_split(options) and len(delimiter) == 1:
+            records = read_records(spark, paths, delimiter, quote, str(options["header"]).lower() == "true", spots)
+            options["multiLine"] = records is not None
+        else:
+            lines = spark.read.options(**spots).text(paths)
+            odd = (F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))) % 2 == 1
+            options["multiLine"] = not lines.where(odd).limit(1).isEmpty()
+    reader = spark.read.options(**options)
+    if schema is not None:
         reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]))
-    cells = reader.csv(paths)
-    cells = cells.select(*[F.when(~col(c).isin(*MISSING), col(c)).alias(c) for c in cells.columns])
-    if infer:
+    cells, folders = reader.csv(paths), []
+    if records is not None:
+        folders = records.columns[1:]
+        names = [c for c in cells.columns if c not in folders]
+        form = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
+        known = {k: str(v) for k, v in options.items() if k not in ("header", "inferSchema", *SPOTS)}
+        cells = records.select(F.from_csv("record", form, known).alias("record"), *[col(c) for c in folders]).select("record.*", *[col(c) for c in folders])
+    cells = cells.select(*[col(c) if c in folders else F.when(~col(c).isin(*MISSING), col(c)).alias(c) for c in cells.columns])
+    if schema is None:
         kinds = infer_types(cells)
         return cells.select(*[col(c).cast(kinds[c]).alias(c) for c in cells.columns])
     return cells.select(*[col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
