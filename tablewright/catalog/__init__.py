@@ -1,7 +1,7 @@
 """All registered queries and their SQL twins."""
 
 from . import (  # noqa: F401
-    clean_queries, describe_queries, diagnose_queries, predict_queries, prescribe_queries, reshape_queries, source_queries,
+    advanced_queries, clean_queries, describe_queries, diagnose_queries, predict_queries, prescribe_queries, reshape_queries, source_queries,
 )
 from .registry import ORACLES, QUERIES
 
