@@ -29,18 +29,31 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _packed(rows: DataFrame, width: int, count: int, size: int) -> tuple[DataFrame, int]:
-    """Blocks of about ``size`` rows, dealt by a hash of the id and numbered from 0, and how many there are."""
-    blocks = max(1, -(-count // size))
+def _packed(rows: DataFrame, width: int, extra: str | None = None) -> DataFrame:
+    """The rows of each ``block`` as bytes, with the numbers of column ``extra`` if one is named."""
+    names = ["ids", "vectors"] + ([extra] if extra else [])
 
     def run(key, part):
         part = part.combine_chunks()
-        ids = part.column("id").to_numpy()
-        vectors = _matrix(part.column("v").chunk(0), width)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "ids": [ids.tobytes()], "vectors": [vectors.tobytes()]})
+        columns = [part.column("id").to_numpy(), _matrix(part.column("v").chunk(0), width)] + ([part.column(extra).to_numpy()] if extra else [])
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), **{n: [c.tobytes()] for n, c in zip(names, columns)}})
 
-    numbered = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long"))
-    return numbered.groupBy("block").applyInArrow(run, "block long, ids binary, vectors binary"), blocks
+    return rows.groupBy("block").applyInArrow(run, "block long, " + ", ".join(f"{n} binary" for n in names))
+
+
+def _by_norm(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` with a block number, about BLOCK rows each, and how many blocks there are. Blocks hold rows of about the same
+    norm, largest norms first, so that the heads of their lists differ; within a class a hash deals the rows."""
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    tagged = rows.withColumn("class", F.when(norm > 0, F.floor(F.log2(norm) * 4)).otherwise(-1))
+    counts = sorted(((r["class"], r["n"]) for r in tagged.groupBy("class").agg(F.count("*").alias("n")).collect()), reverse=True)    # some hundred classes
+    first, number = F.lit(0), 0
+    size = F.lit(1)
+    for name, n in counts:
+        blocks = -(-n // BLOCK)
+        first, size = F.when(F.col("class") == name, number).otherwise(first), F.when(F.col("class") == name, blocks).otherwise(size)
+        number += blocks
+    return tagged.withColumn("block", (first + F.pmod(F.xxhash64("id"), size)).cast("long")).drop("class"), max(number, 1)
 
 
 class Lists:
@@ -56,6 +69,57 @@ class Lists:
         self.vectors = vectors.astype(np.float64) if self.exact else vectors
         self.reach = reach
 
+    def bounds(self, queries: np.ndarray, depths: list[int]) -> np.ndarray:
+        """What a row can score at most, for each query, if no list has shown it down to each depth."""
+        n = len(self.ids)
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        return up @ self.sorted[:, [d - 1 for d in depths]] + down @ self.sorted[:, [n - d for d in depths]]
+
+    def reaching(self, own: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query numbers, ids and scores of the rows that score ``least`` or more, at most the k best of each query.
+
+        ``least`` is a score that k rows are known to have. The lists need reading only to the depth where what
+        they have not shown stays below it: to none at all if their heads do. Rows seen are scored in
+        one product for the queries whose lists together show about all of them.
+        """
+        n = len(self.ids)
+        depths = [1]
+        while depths[-1] < n:
+            depths.append(min(depths[-1] * 2, n))
+        enough = self.bounds(queries, depths) < least[:, None]
+        enough[:, -1] = True                                                         # then all is seen
+        depth = np.array(depths)[enough.argmax(1)]
+        skipped = self.bounds(queries, [1])[:, 0] < least
+        reach = self.reach * int(np.abs(queries).max(initial=0)) * queries.shape[1]
+        kind = np.float64 if self.exact and reach < 1 << 53 else np.int64
+        vectors, asked = self.vectors.astype(kind, copy=False), queries.astype(kind)
+        used = queries != 0
+        wide = ~skipped & ((depth == n) | (depth * used.sum(1) * 2 >= n))
+        out = []
+        many = np.flatnonzero(wide)
+        for first in range(0, len(many), 64):
+            some = many[first:first + 64]
+            scores = asked[some] @ vectors.T
+            at, row = np.nonzero(scores >= least[some, None])
+            out.append((some[at], row, scores[at, row]))
+        for q in np.flatnonzero(~skipped & ~wide).tolist():
+            up, down = np.flatnonzero(queries[q] > 0), np.flatnonzero(queries[q] < 0)
+            row = np.unique(np.concatenate([self.order[up, :depth[q]].ravel(), self.order[down, n - depth[q]:].ravel()]))
+            scores = vectors[row] @ asked[q]
+            good = scores >= least[q]
+            out.append((np.full(int(good.sum()), q), row[good], scores[good]))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        query, row, score = (np.concatenate(c) for c in zip(*out))
+        ids = self.ids[row]
+        other = ids != own[query]
+        query, ids, score = query[other], ids[other], score[other].astype(np.int64)
+        o = np.lexsort([ids, -score, query])
+        query, ids, score = query[o], ids[o], score[o]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = place < k + self.spare
+        return query[kept], ids[kept], score[kept]
+
     def best(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows, ties to the smaller id; rows called ``own`` are left out.
 
@@ -112,40 +176,55 @@ def top_k(
     vectors under one query id each is asked for, the best scores per candidate id kept. Empty tables give
     no rows; other columns are not read.
 
-    Rows are cut into blocks with a sorted list for each dimension. Queries, a stated part of the rows, meet every
-    block in blocks of their own: each such pair is a row of a join on the block's number, and only k rows for each query
-    and block leave it.
+    Rows are cut into blocks of like norms with a sorted list for each dimension. The threshold algorithm first runs for every
+    query on one of the blocks of largest norms, which proves a k-th score. Then the queries, in blocks of their own, meet all other
+    blocks (each pair is a row of a join on the block's number) with that score as the bound: a block whose list heads cannot
+    beat it is skipped, others are read only to the depth where the rest cannot. At most k rows for each query
+    and block leave a task.
     """
     known = vectors.select(
         F.col(vec_id).cast("long").alias("id"), quantised(vector, factor).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"),
     ).where("id IS NOT NULL AND v IS NOT NULL").distinct()
     known = stored(known, "vectors")
-    width, n, asking = known.agg(F.max(F.size("v")), F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
+    width, asking = known.agg(F.max(F.size("v")), F.count(F.when(F.col("asks"), 1))).first()
     width = max(width or 1, 1)
-    packed, number = _packed(known.select("id", "v"), width, n, BLOCK)
-    blocks = stored(packed, "blocks")
-    asks, _ = _packed(known.where("asks").select("id", "v"), width, asking, QUERIES)
-    asks = asks.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(number - 1).cast("long"))).alias("block"),
-        F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
-    pairs = asks.join(blocks, "block")
+    dealt, number = _by_norm(known.select("id", "v"))
+    blocks = stored(_packed(dealt, width), "blocks")
+    part = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-asking // QUERIES)))).cast("long")
+    asks = known.where("asks").select("id", "v", part.alias("block"))
+    first = F.pmod("part", F.lit(max(1, number // 16)))                   # the block that a block of queries meets first
 
-    def search(batches):
+    def met(batches, work):
         last, lists = None, None
         for batch in batches:
             for row in batch.to_pylist():
                 if row["block"] != last:
                     last = row["block"]
                     lists = Lists(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.int64).reshape(-1, width))
-                own = np.frombuffer(row["query_ids"], np.int64)
-                found = [lists.best(q, v, k) for q, v in zip(own.tolist(), np.frombuffer(row["query_vectors"], np.int64).reshape(-1, width))]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(own, [len(f[0]) for f in found]), pa.int64()),
-                    pa.array(np.concatenate([f[0] for f in found]), pa.int64()), pa.array(np.concatenate([f[1] for f in found]), pa.int64()),
-                ], names=["query_id", "vec_id", "score"])
+                own, asked = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["query_vectors"], np.int64).reshape(-1, width)
+                query, ids, scores = work(lists, own, asked, row)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (own[query], ids, scores)], names=["query_id", "vec_id", "score"])
+
+    def search(batches):
+        def work(lists, own, asked, row):
+            found = [lists.best(q, v, k) for q, v in zip(own.tolist(), asked)]
+            return np.repeat(np.arange(len(own)), [len(f[0]) for f in found]), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+        yield from met(batches, work)
+
+    def search_on(batches):
+        yield from met(batches, lambda lists, own, asked, row: lists.reaching(own, asked, np.frombuffer(row["least"], np.int64), k))
 
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("query_id", "vec_id", "score")])
-    found = pairs.select("block", "ids", "vectors", "query_ids", "query_vectors").mapInArrow(search, schema)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    asked = [F.col("block").alias("part"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors")]
+    begun = _packed(asks, width).select(*asked).withColumn("block", first).join(blocks, "block").select("block", "ids", "vectors", "query_ids", "query_vectors")
+    begun = stored(begun.mapInArrow(search, schema), "found")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = begun.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", place)
+    proven = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+    bounded = asks.join(proven, "id", "left").withColumn("least", F.coalesce("least", F.lit(-(1 << 62))))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(number - 1).cast("long"))).alias("block")
+    rest = _packed(bounded, width, "least").select(*asked, "least").select("*", others).where(F.col("block") != first)
+    rest = rest.join(blocks, "block").select("block", "ids", "vectors", "query_ids", "query_vectors", "least").mapInArrow(search_on, schema)
+    found = begun.unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_copies, periodic, resample
+from tablewright.llm import exact_copies, periodic, resample, topk
 from tablewright.llm.queries import QUERIES
 
 ROWS = "doc_id long, text string, n_words long, runs int, _metadata string, score double"
@@ -235,3 +235,37 @@ def test_checksums_and_bit_slices():
     owner = np.sort(rng.integers(0, 5, 8000))
     sums = resample.bit_sliced_sums(found, owner, 6, resample.gain_planes(gain), 10_000)
     assert sums.tolist() == [int(gain[found[owner == k]].sum()) for k in range(6)]
+
+
+def brute_top(rows, k):
+    out = set()
+    for i, q in rows:
+        if i % 20 == 0:
+            scores = sorted((-int(np.dot(q, v)), j) for j, v in rows if j != i)[:k]
+            out |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)}
+    return out
+
+
+def test_top_k_over_blocks_of_norms(spark, monkeypatch):
+    """Many blocks, of which those of small norms are skipped, zero vectors among them."""
+    monkeypatch.setattr(topk, "BLOCK", 30)
+    monkeypatch.setattr(topk, "QUERIES", 5)
+    rng = np.random.default_rng(4)
+    rows = [(i, np.floor(64 * rng.normal(0, 1, 6) * (0.01 if i % 3 else 2)).astype(int)) for i in range(400)] + [(400, np.zeros(6, int)), (420, np.zeros(6, int))]
+    df = spark.createDataFrame([(i, (v / 64).tolist()) for i, v in rows], "vec_id long, embedding array<double>").repartition(4)
+    got = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=7).collect()}
+    assert got == brute_top(rows, 7)
+
+
+def test_lists_are_read_no_further_than_their_bound():
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(-50, 50, (500, 4))
+    lists = topk.Lists(np.arange(500), vectors)
+    queries = rng.integers(-9, 9, (20, 4))
+    scores = queries @ vectors.T
+    for least in (np.sort(scores, 1)[:, -7], scores.max(1), scores.max(1) + 1, scores.min(1)):
+        query, ids, found = lists.reaching(np.full(20, -1), queries, least, 500)
+        assert {(q, i, s) for q, i, s in zip(query.tolist(), ids.tolist(), found.tolist())} == {
+            (q, i, int(scores[q, i])) for q in range(20) for i in range(500) if scores[q, i] >= least[q]}
+    heads = lists.bounds(queries, [1])[:, 0]
+    assert len(lists.reaching(np.full(20, -1), queries, heads + 1, 5)[0]) == 0            # blocks are skipped by their heads alone
