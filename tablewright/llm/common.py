@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -84,10 +86,12 @@ def map_texts(
                 rows = batch.slice(first, last - first)
                 kept = [rows.column(rows.schema.get_field_index(c)) for c in keep]
                 yield pa.RecordBatch.from_arrays(kept + work(data, offsets, rows), names=names)
+        give_back()
 
     return small_batches(df).mapInArrow(run, schema)
 
 
+KEPT_POWERS = 1 << 18     # of each base that a worker remembers; longer ranges find theirs anew
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -98,10 +102,20 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(max(n, 1024), base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _powers[int(base)] = have
+        if n <= KEPT_POWERS:
+            _powers[int(base)] = have
     return have[:n]
 
 
+def give_back() -> None:
+    """Hand memory that a finished task of a worker no longer uses back to the machine, where its allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * MIX
@@ -169,6 +183,10 @@ class IdSieve:
     def _spot(self, name: str):
         return F.pmod(F.xxhash64(F.col(name).cast("string")), F.lit(self.room))
 
+    def close(self) -> None:
+        """Let go of the bitmap everywhere; what ``rows`` returned must have been stored by then."""
+        self.bits.destroy()
+
     def rows(self, df: DataFrame, name: str, inside: bool) -> DataFrame:
         """Rows whose id may be one of the ids, or those whose id certainly is none (null ids too)."""
         spot, shared = fresh_name(df.columns, "__spot"), self.bits

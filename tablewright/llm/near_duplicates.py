@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import IdSieve, LOWER, byte_table, hash_ranges, map_texts, small_batches, stored, texts_of, word_spans
+from .common import IdSieve, LOWER, byte_table, fresh_name, hash_ranges, map_texts, small_batches, stored, texts_of, word_spans
 from .components import components
 
 WORDS = byte_table(words=False)
@@ -19,7 +19,7 @@ LONGS = MINIMA // 64                  # of one bit plane; two low bits are kept
 FEW = 64                              # shingles; the estimate does not judge pairs with a smaller set
 AGREE = 0.25                          # chance that two different minima have the same two bits
 FLOOR = 0.735                         # estimates below it are 4.4 deviations under 0.8
-PIVOTS = 1024                         # members of a bucket compared with all others in one round
+PIVOTS = (4, 1024)                    # members of a bucket compared with all others in the first round, and at most in one; four times as many each round
 REMEMBERED = 16 << 20                 # characters of texts whose sets a task keeps for the next pairs
 SHINGLE_BASE = np.uint64(0xE7037ED1A0B428DB)
 
@@ -110,7 +110,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataF
     Only texts that occur in a pair are shuffled: others are told apart as they are read.
     """
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    texts = IdSieve(ids, "id").rows(docs, "doc_id", inside=True)
+    sieve = IdSieve(ids, "id")
+    texts = sieve.rows(docs, "doc_id", inside=True)
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -132,7 +133,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataF
                 linked.append(shared > 0 and 100 * shared >= percent * (len(one) + len(two) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return small_batches(both).mapInArrow(judge, pairs.select("a", "b").schema).distinct()
+    found = stored(small_batches(both).mapInArrow(judge, pairs.select("a", "b").schema).distinct(), "links")
+    sieve.close()
+    return found
 
 
 def _set_of(text: str, size: int) -> np.ndarray:
@@ -159,9 +162,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Equal sets collapse to their smallest id first. Every bucket of a band then proposes its smallest
     member against the others, and estimates from packed low bits drop hopeless pairs; full sets decide.
-    Buckets whose members are not one component by then compare further members with the rest, round by
-    round, until each pair of members is in one component, was confirmed or denied, or is out of
-    question by its estimate: no link found in a bucket is lost, and no bucket is ever expanded to all its pairs.
+    Buckets whose members are not one component by then compare further members with those of other components, round
+    by round and a few at first: what they are linked with is one component in the next round, so that the members of a large
+    group are not all compared with each other. It goes on until each pair of members is in one component, was
+    confirmed or denied, or is out of question by its estimate: no link found in a bucket is lost. Members that no
+    link brings together are compared pair by pair, as far as their estimates leave a link possible.
     """
     rows = texts_of(docs, text, doc_id)
     signed = stored(signatures(rows, size), "signatures")
@@ -179,7 +184,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stars = stored(stars.select("a", "b", estimate("x", "y").alias("likely")), "pairs")
     first = stars.groupBy("a").agg(F.max_by("b", F.struct("likely", -F.col("b"))).alias("b"))
     tested = first = stored(first, "tested")
-    links = stored(confirm(first, rows, percent, size), "links")
+    links = confirm(first, rows, percent, size)
     nodes = stored(crowd.select("node").distinct(), "nodes")
     labels = _labels(nodes, links)
     waiting, turn = crowd.select("band", "node"), 0
@@ -189,7 +194,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         doubtful = stored(doubtful, "pairs")
         if not doubtful.isEmpty():
             tested = tested.unionByName(doubtful)
-            links = stored(links.unionByName(confirm(doubtful, rows, percent, size)), "links")
+            links = links.unionByName(confirm(doubtful, rows, percent, size))
             labels = _labels(nodes, links)
         elif waiting.isEmpty():
             break
@@ -209,8 +214,9 @@ def _next_pairs(waiting: DataFrame, labels: DataFrame, planes: DataFrame, tested
     """Members of buckets that hold several components, less this turn's pivots, and the pairs of these
     pivots with members of other components that are still in question.
 
-    Pivots come from outside the bucket's largest component, about PIVOTS of them, chosen by a hash.
+    Pivots come from outside the bucket's largest component, chosen by a hash.
     """
+    pivots = min(PIVOTS[0] * 4 ** (turn - 1), PIVOTS[1])
     now = waiting.join(labels, "node")
     sizes = now.groupBy("band", "component").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("band").agg(
@@ -218,7 +224,7 @@ def _next_pairs(waiting: DataFrame, labels: DataFrame, planes: DataFrame, tested
     ).where("kinds > 1").drop("kinds")
     open_ = now.join(mixed, "band")
     share = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)       # the same in every bucket
-    drawn = (F.col("component") != F.col("most")) & (share * F.col("others") < PIVOTS)
+    drawn = (F.col("component") != F.col("most")) & (share * F.col("others") < pivots)
     open_ = stored(open_.withColumn("pivot", drawn).select("band", "node", "component", "pivot"), "open")
     ready = open_.join(planes, "node")
     x, y = ready.where("pivot").alias("x"), ready.alias("y")
@@ -230,7 +236,8 @@ def _next_pairs(waiting: DataFrame, labels: DataFrame, planes: DataFrame, tested
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = 80) -> DataFrame:
     """``docs`` with one document of every component; the columns stay as they are."""
     found = near_duplicates(docs, doc_id, text, size, percent)
-    gone = stored(found.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "copies")
-    sieve = IdSieve(gone, "__gone")
-    doubtful = sieve.rows(docs, doc_id, inside=True).join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    name = fresh_name(docs.columns, "gone")
+    gone = stored(found.where("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "copies")
+    sieve = IdSieve(gone, name)
+    doubtful = sieve.rows(docs, doc_id, inside=True).join(gone, F.col(doc_id) == F.col(name), "left_anti")
     return sieve.rows(docs, doc_id, inside=False).unionByName(doubtful)

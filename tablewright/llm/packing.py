@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, types as T
 
-from .common import byte_slices, hash_ranges, small_batches, texts_of
+from .common import byte_slices, give_back, hash_ranges, small_batches, texts_of
 
 LENGTH = 4096
 BLOCK_TOKENS = 1 << 20       # tokens optimised at once; the open window goes over into the next block
@@ -309,6 +309,8 @@ def pack(
                 if packer.held >= block_tokens:
                     yield from _pieces(packer.flush(False), schema, id_type)
         yield from _pieces(packer.flush(True), schema, id_type)
+        del encoder, packer
+        give_back()
 
     return small_batches(rows).mapInArrow(run, schema)
 

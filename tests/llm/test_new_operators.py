@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_copies, periodic, resample, topk
+from tablewright.llm import exact_copies, near_duplicates, periodic, resample, topk
 from tablewright.llm.queries import QUERIES
 
 ROWS = "doc_id long, text string, n_words long, runs int, _metadata string, score double"
@@ -269,3 +269,34 @@ def test_lists_are_read_no_further_than_their_bound():
             (q, i, int(scores[q, i])) for q in range(20) for i in range(500) if scores[q, i] >= least[q]}
     heads = lists.bounds(queries, [1])[:, 0]
     assert len(lists.reaching(np.full(20, -1), queries, heads + 1, 5)[0]) == 0            # blocks are skipped by their heads alone
+
+
+def test_large_groups_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """300 copies of one text, about six pairs in ten of them linked: the pairs looked at grow with the copies, not their square."""
+    rng = np.random.default_rng(8)
+    base = prose(30, 150, 10**6).split()
+    rows = []
+    for k in range(300):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 6)), replace=False):
+            words[at] = f"new{k}x{at}"
+        rows.append((k, " ".join(words)))
+    pairs, keep = [], near_duplicates.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_duplicates, "stored", counted)
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    sets = [{tuple(w[i:i + 4]) for i in range(147)} for w in (t.split() for _, t in rows)]
+    least = list(range(300))
+    for a in range(300):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and least[a] != least[b]:
+                low, high = sorted((least[a], least[b]))
+                least = [low if x == high else x for x in least]
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == set(enumerate(least))
+    assert sum(pairs) < 40 * 300

@@ -266,7 +266,7 @@ def brute_components(rows):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("pivots", [1024, 2])
+@pytest.mark.parametrize("pivots", [(1024, 1024), (4, 1024), (1, 2)])
 def test_near_duplicates(spark, docs, pivots, monkeypatch):
     monkeypatch.setattr(near_duplicates, "PIVOTS", pivots)
     rng = np.random.default_rng(5)
