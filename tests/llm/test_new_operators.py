@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_copies, near_duplicates, periodic, resample, topk
+from tablewright.llm import chains, exact_copies, near_duplicates, periodic, resample, topk
 from tablewright.llm.queries import QUERIES
 
 ROWS = "doc_id long, text string, n_words long, runs int, _metadata string, score double"
@@ -300,3 +300,20 @@ def test_large_groups_are_not_compared_pair_by_pair(spark, monkeypatch):
                 least = [low if x == high else x for x in least]
     assert {(r.doc_id, r.component_id) for r in got.collect()} == set(enumerate(least))
     assert sum(pairs) < 40 * 300
+
+
+@pytest.mark.parametrize("copies", [60, 120])
+def test_a_shared_line_is_not_compared_by_pairs(spark, copies, monkeypatch):
+    """Documents that share 42 words and nothing else: chains to align grow with the documents, not their square."""
+    line, looked, keep = prose(50, 42, 10**6), [], chains.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name == "passages":
+            looked.append(out.count())
+        return out
+
+    monkeypatch.setattr(chains, "stored", counted)
+    rows = [(i, f"{prose(100 + i, 60, 10**6)} {line} {prose(400 + i, 60, 10**6)}") for i in range(copies)]
+    assert chains.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).count() == 0
+    assert sum(looked) <= 2 * copies
