@@ -19,7 +19,7 @@ LONGS = MINIMA // 64                  # of one bit plane; two low bits are kept
 FEW = 64                              # shingles; the estimate does not judge pairs with a smaller set
 AGREE = 0.25                          # chance that two different minima have the same two bits
 FLOOR = 0.735                         # estimates below it are 4.4 deviations under 0.8
-PIVOTS = (4, 1024)                    # members of a bucket compared with all others in the first round, and at most in one; four times as many each round
+PIVOTS, MORE = (16, 1024), 16         # members of a bucket compared with all others in the first round, at most in one, and their growth
 REMEMBERED = 16 << 20                 # characters of texts whose sets a task keeps for the next pairs
 SHINGLE_BASE = np.uint64(0xE7037ED1A0B428DB)
 
@@ -173,8 +173,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = stored(
         signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("k0", "k1", "n")
         .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), *[F.first(p).alias(p) for p in PLANES]), "classes")
-    planes = classes.select("node", "n", *PLANES)
-    buckets = classes.select("node", F.explode("bands").alias("band"))
+    planes = classes.select("node", "n", "bands", *PLANES)
+    buckets = classes.select("node", F.posexplode("bands").alias("at", "band"))
     shared = buckets.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("c")).where("c > 1")
     crowd = stored(buckets.join(shared.drop("c"), "band"), "buckets")
 
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = confirm(first, rows, percent, size)
     nodes = stored(crowd.select("node").distinct(), "nodes")
     labels = _labels(nodes, links)
-    waiting, turn = crowd.select("band", "node"), 0
+    waiting, turn = crowd.select("band", "at", "node"), 0
     while True:
         turn += 1
         waiting, doubtful = _next_pairs(waiting, labels, planes, tested, percent, turn)
@@ -214,9 +214,10 @@ def _next_pairs(waiting: DataFrame, labels: DataFrame, planes: DataFrame, tested
     """Members of buckets that hold several components, less this turn's pivots, and the pairs of these
     pivots with members of other components that are still in question.
 
-    Pivots come from outside the bucket's largest component, chosen by a hash.
+    Pivots come from outside the bucket's largest component, chosen by a hash. A pair of members is looked at in the
+    first bucket they share only, where one of them is a pivot sooner or later.
     """
-    pivots = min(PIVOTS[0] * 4 ** (turn - 1), PIVOTS[1])
+    pivots = min(PIVOTS[0] * MORE ** (turn - 1), PIVOTS[1])
     now = waiting.join(labels, "node")
     sizes = now.groupBy("band", "component").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("band").agg(
@@ -225,12 +226,13 @@ def _next_pairs(waiting: DataFrame, labels: DataFrame, planes: DataFrame, tested
     open_ = now.join(mixed, "band")
     share = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)       # the same in every bucket
     drawn = (F.col("component") != F.col("most")) & (share * F.col("others") < pivots)
-    open_ = stored(open_.withColumn("pivot", drawn).select("band", "node", "component", "pivot"), "open")
+    open_ = stored(open_.withColumn("pivot", drawn).select("band", "at", "node", "component", "pivot"), "open")
     ready = open_.join(planes, "node")
     x, y = ready.where("pivot").alias("x"), ready.alias("y")
-    cross = (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & _plausible("x", "y", percent)
+    first = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.at") + 1     # of the buckets both are in
+    cross = (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & _plausible("x", "y", percent) & first
     pairs = x.join(y, cross).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    return open_.where("NOT pivot").select("band", "node"), pairs.join(tested, ["a", "b"], "left_anti")
+    return open_.where("NOT pivot").select("band", "at", "node"), pairs.join(tested, ["a", "b"], "left_anti")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = 80) -> DataFrame:
