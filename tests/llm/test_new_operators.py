@@ -317,3 +317,29 @@ def test_a_shared_line_is_not_compared_by_pairs(spark, copies, monkeypatch):
     rows = [(i, f"{prose(100 + i, 60, 10**6)} {line} {prose(400 + i, 60, 10**6)}") for i in range(copies)]
     assert chains.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).count() == 0
     assert sum(looked) <= 2 * copies
+
+
+def test_bound_of_ends_never_loses_a_passage():
+    rng = np.random.default_rng(11)
+    pairs, found = [], 0
+    for n in range(400):
+        a = rng.integers(0, 1 << 31, 160).astype(np.uint32)
+        b = a.copy()
+        edits = rng.random(160) < rng.choice([0.05, 0.2, 0.3, 0.5])
+        b[edits] = rng.integers(0, 1 << 31, int(edits.sum()))
+        b[70:74] = a[70:74]
+        low, high = sorted(rng.choice(np.arange(0, 160), 2, replace=False).tolist())
+        b[:min(low, 70)], b[max(high, 74):] = 1, 2
+        pairs.append((a, b, [(70, 70)]))
+    cores = [chains.inner(*p) for p in pairs]
+    near, far = [], []
+    for (a, b, _), (x, i, y, j, _) in zip(pairs, cores):
+        near += [a[:x][::-1], a[i:i + chains.REACH]]
+        far += [b[:y][::-1], b[j:j + chains.REACH]]
+    words, matched = chains.extensions(near, far)
+    may = chains.within_reach(cores, matched[::2], matched[1::2])
+    for n, (x, i, y, j, m) in enumerate(cores):
+        passage = chains.widest((i - x, j - y, m), (words[2 * n], matched[2 * n]), (words[2 * n + 1], matched[2 * n + 1]))
+        assert may[n] or not passage
+        found += passage is not None
+    assert 20 < found < 380 and 20 < may.sum() < 380
