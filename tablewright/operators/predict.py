@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
+    GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Interaction, OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
@@ -18,6 +18,7 @@ from ..functions.columns import CATEGORICAL, NUMERIC, as_double, col, column_rol
 from ..functions.hashing import key_digest
 from ..plans.quantiles import exact_quantiles
 from ..plans.tall import fit_row
+from .boosting import BINS, BoostedClasses, fit_classes
 from .diagnose import CLASS_LIMIT
 
 # Usual share of test rows, seed, forest size and boosting rounds.
@@ -59,20 +60,29 @@ def split(df: DataFrame, keys: Sequence[str], test_size: float = TEST_SIZE, seed
 class Layout:
     """How features become a vector, learnt from training rows: per number its median
     (for missing values), mean and deviation; per string its sorted levels and the most
-    frequent one."""
+    frequent one; per hashed string its number of slots and the most frequent value."""
 
     numeric: dict[str, tuple[float, float, float]]
     text: dict[str, tuple[tuple[str, ...], str]]
+    hashed: dict[str, tuple[int, str]] = field(default_factory=dict)
 
 
-def learn_layout(train: DataFrame, names: Sequence[str]) -> Layout:
+def learn_layout(train: DataFrame, names: Sequence[str], hash_slots: dict[str, int] | int | None = None) -> Layout:
     """A fixed number of scans whatever the number of features: one aggregation for all
     columns, one count of ``(column, level)`` for all strings, which must stay few enough
-    to become vector slots, and the narrowing scans of the exact medians."""
+    to become vector slots, and the narrowing scans of the exact medians.
+
+    ``hash_slots`` (a number for all strings, or one per named column) hashes strings into that
+    many slots instead: any number of levels, of which only the most frequent one is fetched."""
     roles = column_roles(train)
     numeric = [c for c in names if roles[c] == NUMERIC]
     text = [c for c in names if roles[c] == CATEGORICAL]
     require_some([*numeric, *text], "feature columns")
+    slots = dict.fromkeys(text, hash_slots) if isinstance(hash_slots, int) else dict(hash_slots or {})
+    if bad := [c for c, n in slots.items() if c not in text or n < 2]:
+        raise ValueError(f"hash_slots needs text features and at least 2 slots: {', '.join(bad)}")
+    hashing = [c for c in text if c in slots]
+    text = [c for c in text if c not in slots]
     row = fit_row(train, {"rows": F.count(F.lit(1))} | {
         f"{k}{i}": e for i, c in enumerate(numeric) for k, e in (
             ("m", F.avg(as_double(train, c))), ("s", F.stddev_samp(as_double(train, c))))
@@ -81,22 +91,29 @@ def learn_layout(train: DataFrame, names: Sequence[str]) -> Layout:
         raise ValueError("no training rows left after dropping missing values")
     wide = [c for i, c in enumerate(text) if row[f"d{i}"] > MAX_FEATURE_LEVELS]
     if wide:
-        raise ValueError(f"too many distinct values to use as features (encode them first): {', '.join(wide)}")
+        raise ValueError(f"too many distinct values for a slot each (name hash_slots for them): {', '.join(wide)}")
     levels: dict[str, list] = {c: [] for c in text}
     if text:
-        counts = (
-            train.select(*[present(train, c).alias(c) for c in text]).unpivot([], [col(c) for c in text], "column", "level")
-            .where("level is not null").groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"))
-        )
-        for r in counts.collect():
+        for r in _level_counts(train, text).collect():
             levels[r["column"]].append((r["level"], r["n"]))
+    common = {}
+    if hashing:
+        first = F.min_by("level", F.struct((-F.col("n")).alias("n"), "level")).alias("level")
+        common = {r["column"]: r["level"] for r in _level_counts(train, hashing).groupBy("column").agg(first).collect()}
     medians = exact_quantiles(train, numeric, [0.5])
     return Layout(
         {c: (medians[c][0], row[f"m{i}"], row[f"s{i}"] or 1.0) for i, c in enumerate(numeric)},
         {c: (tuple(sorted(v for v, _ in found)), min(found, key=lambda x: (-x[1], x[0]))[0]) for c, found in levels.items()},
+        {c: (slots[c], common.get(c, "")) for c in hashing},
     )
 
 
+def _level_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``(column, level, n)`` of several string columns in one scan."""
+    values = df.select(*[present(df, c).alias(c) for c in names]).unpivot([], [col(c) for c in names], "column", "level")
+    return values.where("level is not null").groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _typed(df: DataFrame, layout: Layout) -> DataFrame:
     """Features under fixed inner names: filled and standardised numbers, filled strings."""
     out = {}
@@ -104,7 +121,21 @@ def _typed(df: DataFrame, layout: Layout) -> DataFrame:
         out[f"__x{i}"] = (F.coalesce(as_double(df, c), F.lit(median)) - F.lit(mean)) / F.lit(std)
     for i, (c, (_, common)) in enumerate(layout.text.items()):
         out[f"__s{i}"] = F.coalesce(present(df, c), F.lit(common))
-    return df.withColumns(out)
+    typed = df.withColumns(out)
+    for i, (c, (slots, common)) in enumerate(layout.hashed.items()):
+        value = F.coalesce(present(df, c), F.lit(common))
+        slot = F.pmod(F.xxhash64(F.lit(c), value), F.lit(slots)).cast("double")
+        sign = F.xxhash64(value, F.lit(c)).bitwiseAND(F.lit(1)) * 2.0 - 1.0
+        nominal = {"ml_attr": {"type": "nominal", "num_vals": slots, "name": f"__k{i}"}}   # known: no job counts them
+        typed = typed.withColumn(f"__k{i}", slot).withMetadata(f"__k{i}", nominal).withColumn(f"__g{i}", sign)
+    return typed
+
+
+def _inner(layout: Layout) -> list[str]:
+    """All columns that ``_typed`` and ``preparation`` add on the way."""
+    return [f"__x{i}" for i in range(len(layout.numeric))] + [
+        f"__s{i}{k}" for i in range(len(layout.text)) for k in ("", "c", "o")
+    ] + [f"__{k}{i}" for i in range(len(layout.hashed)) for k in "kgov"]
 
 
 def preparation(typed: DataFrame, layout: Layout, one_hot: bool = True) -> PipelineModel:
@@ -122,26 +153,29 @@ def preparation(typed: DataFrame, layout: Layout, one_hot: bool = True) -> Pipel
         if one_hot:
             stages.append(OneHotEncoder(inputCols=codes, outputCols=slots, dropLast=True))
         parts += slots if one_hot else codes
+    if layout.hashed:
+        ids = range(len(layout.hashed))
+        if one_hot:        # a slot holds +1 or -1, so levels that share it do not only add up
+            stages.append(OneHotEncoder(inputCols=[f"__k{i}" for i in ids], outputCols=[f"__o{i}" for i in ids], dropLast=False))
+            stages += [Interaction(inputCols=[f"__o{i}", f"__g{i}"], outputCol=f"__v{i}") for i in ids]
+        parts += [f"__{'v' if one_hot else 'k'}{i}" for i in ids]
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=parts, outputCol="features")]).fit(typed)
 
 
 def prepare_features(df: DataFrame, layout: Layout, one_hot: bool = True) -> DataFrame:
     """Add the vector column ``features`` (stateless: also on a stream)."""
     typed = _typed(df, layout)
-    inner = [f"__x{i}" for i in range(len(layout.numeric))] + [
-        f"__s{i}{k}" for i in range(len(layout.text)) for k in ("", "c", "o")
-    ]
-    return preparation(typed, layout, one_hot).transform(typed).drop(*inner)
+    return preparation(typed, layout, one_hot).transform(typed).drop(*_inner(layout))
 
 
 def _slots(layout: Layout, one_hot: bool = True) -> list[str]:
     """Source column of every slot of the feature vector."""
     return list(layout.numeric) + [
         c for c, (levels, _) in layout.text.items() for _ in (levels if one_hot else (1,))
-    ]
+    ] + [c for c, (slots, _) in layout.hashed.items() for _ in range(slots if one_hot else 1)]
 
 
-def _learner(problem_type: str, model_type: str, classes: int, trees: int, rounds: int, depth: int, seed: int):
+def _learner(problem_type: str, model_type: str, trees: int, rounds: int, depth: int, seed: int):
     shared = {"featuresCol": "features", "labelCol": "__label"}
     if problem_type == REGRESSION:
         if model_type == "random_forest":
@@ -157,8 +191,7 @@ def _learner(problem_type: str, model_type: str, classes: int, trees: int, round
         if model_type == "random_forest":
             return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **shared)
         if model_type == "gradient_boosting":
-            boost = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, **shared)
-            return boost if classes <= 2 else OneVsRest(classifier=boost, **shared)
+            return GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, **shared)
         if model_type == "linear_model":
             return LogisticRegression(maxIter=1000, regParam=0.0, **shared)
     else:
@@ -207,9 +240,11 @@ def fit_model(
     df: DataFrame, target_column: str, keys: Sequence[str], columns="all", problem_type: str = REGRESSION,
     model_type: str = "random_forest", test_size: float = TEST_SIZE, seed: int = SEED, trees: int = TREES,
     rounds: int = ROUNDS, depth: int | None = None, max_classes: int = CLASSES,
+    hash_slots: dict[str, int] | int | None = None,
 ) -> Fitted:
     """Train on the rows outside the test share and predict the test rows. Trees are 5 deep, boosted ones
-    3, unless ``depth`` says otherwise; a target of more than ``max_classes`` classes is an error.
+    3, unless ``depth`` says otherwise; a target of more than ``max_classes`` classes is an error. Boosting with more than two classes
+    grows a tree per class and round on one softmax. ``hash_slots``: see ``learn_layout``.
 
     ``keys`` identify a row; they decide the split and never enter the model. The
     prepared training rows are persisted only while the model is fitted.
@@ -217,7 +252,7 @@ def fit_model(
     data = complete_cases(df, target_column, columns, keys)
     features = [c for c in data.columns if c != target_column and c not in keys]
     train, test = split(data, keys, test_size, seed)
-    layout = learn_layout(train, features)
+    layout = learn_layout(train, features, hash_slots)
     labels = None
     if problem_type == CLASSIFICATION:
         found = train.select(present(data, target_column).alias("v")).where("v is not null").distinct()
@@ -229,23 +264,33 @@ def fit_model(
     else:
         label = as_double(data, target_column)
     typed = _typed(train.withColumn("__label", label), layout)
-    prepared = preparation(typed, layout)
+    deep = DEPTHS.get(model_type, 5) if depth is None else depth
+    many = len(labels or ()) > 2 and model_type == "gradient_boosting"
+    prepared = preparation(typed, layout, one_hot=not many)
     ready = prepared.transform(typed).select("features", "__label").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        deep = DEPTHS.get(model_type, 5) if depth is None else depth
-        learner = _learner(problem_type, model_type, len(labels or ()), trees, rounds, deep, seed)
-        model = learner.fit(ready)
+        if many:
+            sizes = [len(v) for v, _ in layout.text.values()] + [n for n, _ in layout.hashed.values()]
+            model = fit_classes(ready, len(labels), _thresholds(train, layout), sizes, rounds, deep)
+        else:
+            model = _learner(problem_type, model_type, trees, rounds, deep, seed).fit(ready)
     finally:
         ready.unpersist()
     fitted = Fitted(problem_type, target_column, tuple(keys), layout, labels, prepared, model, None)
     scored = fitted.score(test)
     table = scored.select(
-        *[col(k) for k in keys], *[col(c) for c in (*layout.numeric, *layout.text)],
+        *[col(k) for k in keys], *[col(c) for c in (*layout.numeric, *layout.text, *layout.hashed)],
         col(target_column).alias("actual"), "predicted",
     )
     return Fitted(problem_type, target_column, tuple(keys), layout, labels, prepared, model, table)
 
 
+def _thresholds(train: DataFrame, layout: Layout) -> list[list[float]]:
+    """Quantiles of every number, on the standardised scale, that part it into codes."""
+    found = exact_quantiles(train, list(layout.numeric), [i / BINS for i in range(BINS)])
+    return [[(q - mean) / std for q in found[c] if q is not None] for c, (_, mean, std) in layout.numeric.items()]
+
+
 # --- results ---------------------------------------------------------------------
 
 def regression_metrics(predictions: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
@@ -308,19 +353,17 @@ def classification_metrics(
 def model_importance(fitted: Fitted) -> DataFrame:
     """``(feature, importance, place)``, slots of one-hot features added up. Trees give
     impurity importances, linear models absolute coefficients (averaged over classes)."""
-    slots = _slots(fitted.layout)
     model = fitted.model
-    models = getattr(model, "models", None) or [model]   # one-vs-rest: average
-    weights = [0.0] * len(slots)
-    for m in models:
-        if hasattr(m, "featureImportances"):
-            found = m.featureImportances.toArray()
-        elif getattr(m, "numClasses", 2) > 2:
-            found = abs(m.coefficientMatrix.toArray()).mean(axis=0)
-        else:
-            found = abs(m.coefficients.toArray())
-        weights = [a + float(b) / len(models) for a, b in zip(weights, found)]
-    return _ranked(fitted.predictions.sparkSession, slots, weights)
+    spark = fitted.predictions.sparkSession
+    if isinstance(model, BoostedClasses):
+        return _ranked(spark, _slots(fitted.layout, one_hot=False), model.gains)
+    if hasattr(model, "featureImportances"):
+        found = model.featureImportances.toArray()
+    elif getattr(model, "numClasses", 2) > 2:
+        found = abs(model.coefficientMatrix.toArray()).mean(axis=0)
+    else:
+        found = abs(model.coefficients.toArray())
+    return _ranked(spark, _slots(fitted.layout), found)
 
 
 def _ranked(spark, slots: Sequence[str], weights: Sequence[float]) -> DataFrame:
@@ -359,9 +402,7 @@ def forest_importance(df: DataFrame, target_column: str, columns, trees: int, de
     prepared = preparation(typed, layout, one_hot=False)
     ready = prepared.transform(typed).select("features", "__label").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        learner = _learner(
-            CLASSIFICATION if classify else REGRESSION, "random_forest", 2, trees, 0, depth, seed
-        )
+        learner = _learner(CLASSIFICATION if classify else REGRESSION, "random_forest", trees, 0, depth, seed)
         if layout.text:
             learner = learner.setMaxBins(max(32, 1 + max(len(levels) for levels, _ in layout.text.values())))
         model = learner.fit(ready)
