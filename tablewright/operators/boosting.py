@@ -1,7 +1,7 @@
 """Gradient boosting for targets with several classes: one tree per class and round, all on the
 gradients of one softmax. Rows hold small integer codes; every level of a round is one job for all classes:
-tasks count gradients per ``(class, node, feature, code)``, Spark adds the counts and finds each
-feature's best split. Only those splits, whose number does not depend on the rows, reach the driver."""
+tasks count gradients per class, node and code of a feature, and Spark adds the counters up. Their
+number depends on the model alone, not on the rows; the driver finds the splits in them."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
 STEP = 0.1          # fixed value: usual learning rate
@@ -111,17 +111,19 @@ def _rows(codes: np.ndarray, label: np.ndarray, scores: np.ndarray) -> pa.Record
 
 
 ROW = "codes array<int>, label int, scores array<double>"
-COUNT = "class int, node int, feature int, code int, g long, h long, n long"
+COUNT = "spot long, g long, h long, n long"
 
 
-def _histogram(state: DataFrame, codes: Codes, classes: int, chunk: range, since: list[Round], tree: Round, level: int, depth: int):
-    """``COUNT`` rows of the nodes at ``level``: every task counts its rows and sends the counters that are not zero."""
+def _histogram(
+    state: DataFrame, codes: Codes, classes: int, chunk: range, since: list[Round], tree: Round, level: int, depth: int,
+) -> np.ndarray:
+    """Sums of g, h and 1 per class of ``chunk``, node of ``level`` and code. Every task counts its rows and
+    sends the counters that are not zero; Spark adds them up. What comes back is as large as the counters of one task."""
     sizes, numbers = codes.sizes, len(codes.thresholds)
-    ends, width = np.concatenate([[0], np.cumsum(sizes)]), 1 << level
-    total = int(ends[-1])
+    starts, total, width = np.cumsum(sizes) - sizes, int(sizes.sum()), 1 << level
 
     def count(batches):
-        held = np.zeros((len(chunk), 3, width * total))
+        held = np.zeros((3, len(chunk), width * total))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -130,7 +132,7 @@ def _histogram(state: DataFrame, codes: Codes, classes: int, chunk: range, since
                 r.add_to(scores, coded, numbers, depth)
             odds = np.exp(scores - scores.max(axis=1, keepdims=True))
             odds /= odds.sum(axis=1, keepdims=True)
-            spots = coded + ends[:-1]
+            spots = coded + starts
             for j, k in enumerate(chunk):
                 node = tree.nodes(coded, k, numbers, level) - (width - 1)
                 here = node >= 0                             # others ended at a leaf above
@@ -138,39 +140,36 @@ def _histogram(state: DataFrame, codes: Codes, classes: int, chunk: range, since
                 size = np.abs(left)
                 spot = (node[here, None] * total + spots[here]).ravel()
                 for i, w in enumerate((np.rint(left * UNIT), np.rint(size * (1 - size) * UNIT), np.ones(len(left)))):
-                    held[j, i] += np.bincount(spot, np.repeat(w, len(sizes)), width * total)
-        j, spot = np.nonzero(held[:, 2])
-        node, place = np.divmod(spot, total)
-        feature = np.searchsorted(ends, place, side="right") - 1
-        small = [np.array(chunk)[j], node, feature, place - ends[feature]]
-        sums = [held[j, i, spot].astype(np.int64) for i in range(3)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a.astype(np.int32)) for a in small] + [pa.array(a) for a in sums],
-            ["class", "node", "feature", "code", "g", "h", "n"],
-        )
-
-    return state.mapInArrow(count, COUNT)
-
-
-def best_splits(counts: DataFrame, numbers: int) -> DataFrame:
-    """Per ``(class, node, feature)`` its totals and best split: numbers part at a code, strings into one code and the rest.
-    Gain is the reduction of squared error; of equal gains the smaller code stays."""
-    keys = ["class", "node", "feature"]
-    summed = counts.repartition(*keys).groupBy(*keys, "code").agg(*[F.sum(c).alias(c) for c in "ghn"])
-    group = Window.partitionBy(*keys)
-    below = group.orderBy("code").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_number = F.col("feature") < numbers
-    parts = summed.select(*keys, "code", *[F.sum(c).over(group).alias(f"{c}_all") for c in "ghn"], *[
-        F.when(is_number, F.sum(c).over(below)).otherwise(F.col(c)).alias(f"{c}_in") for c in "ghn"
-    ])
-    other = F.col("n_all") - F.col("n_in")
-    apart = F.col("g_in") / F.col("n_in") - F.try_divide(F.col("g_all") - F.col("g_in"), other)
-    gain = F.coalesce(F.col("n_in") * other / F.col("n_all") * apart * apart, F.lit(0.0))
-    parts = parts.withColumn("gain", gain)
-    split = F.struct("gain", (-F.col("code")).alias("back"), "code", "g_in", "h_in", "n_in")
-    return parts.groupBy(*keys).agg(
-        *[F.first(f"{c}_all").alias(f"{c}_all") for c in "ghn"], F.max(split).alias("split")
-    ).select(*keys, "g_all", "h_all", "n_all", "split.*")
+                    held[i, j] += np.bincount(spot, np.repeat(w, len(sizes)), width * total)
+        flat = held.reshape(3, -1)
+        spot = np.flatnonzero(flat[2])
+        yield pa.RecordBatch.from_arrays([pa.array(spot), *[pa.array(f[spot].astype(np.int64)) for f in flat]], ["spot", "g", "h", "n"])
+
+    sums = state.mapInArrow(count, COUNT).groupBy("spot").agg(*[F.sum(c).alias(c) for c in "ghn"]).toArrow()
+    out = np.zeros((3, len(chunk) * width * total), np.int64)
+    out[:, sums["spot"].to_numpy()] = [sums[c].to_numpy() for c in "ghn"]
+    return out.reshape(3, len(chunk), width, total)
+
+
+def best_splits(sums: np.ndarray, codes: Codes):
+    """Per class and node ``(gain, feature, code, inside, all)``, the last two being sums of g, h and 1. Numbers part at a
+    code, strings into one code and the rest. Gain is the reduction of squared error; of equal gains the smaller feature and code stay."""
+    sizes = codes.sizes
+    starts = np.cumsum(sizes) - sizes
+    whole = sums[..., :sizes[0]].sum(axis=-1)
+    inside = sums.copy()
+    for i in range(len(codes.thresholds)):
+        part = slice(starts[i], starts[i] + sizes[i])
+        inside[..., part] = np.cumsum(sums[..., part], axis=-1)
+    g, _, n = inside
+    g_all, n_all = whole[0, ..., None], whole[2, ..., None]
+    both = (n > 0) & (n < n_all)
+    apart = g / np.maximum(n, 1) - (g_all - g) / np.maximum(n_all - n, 1)
+    gain = np.where(both, n * ((n_all - n) / np.maximum(n_all, 1)) * apart * apart, 0.0)
+    at = gain.argmax(axis=-1)[..., None]
+    feature = np.searchsorted(starts, at[..., 0], side="right") - 1
+    chosen = np.take_along_axis(inside, at[None], axis=-1)[..., 0]
+    return np.take_along_axis(gain, at, axis=-1)[..., 0], feature, at[..., 0] - starts[feature], chosen, whole
 
 
 def fit_classes(
@@ -218,22 +217,19 @@ def fit_classes(
             size = (2 << depth) - 1
             tree = Round(np.full((classes, size), -1), np.zeros((classes, size), np.int64), np.zeros((classes, size)))
             for level in range(depth):
-                found: dict[tuple[int, int], list] = {}
                 for chunk in chunks:
-                    counts = _histogram(state, codes, classes, chunk, since, tree, level, depth)
-                    for r in best_splits(counts, numbers).collect():
-                        found.setdefault((r["class"], r["node"]), []).append(r)
+                    sums = _histogram(state, codes, classes, chunk, since, tree, level, depth)
+                    gain, feature, code, inside, whole = best_splits(sums, codes)
+                    for j, node in np.argwhere(whole[2] > 0).tolist():
+                        k, i, (g, h, _), (g_in, h_in, _) = chunk[j], (1 << level) - 1 + node, whole[:, j, node], inside[:, j, node]
+                        tree.value[k, i] = _leaf(g, h, classes, step)
+                        if gain[j, node] > 0:
+                            tree.feature[k, i], tree.code[k, i] = feature[j, node], code[j, node]
+                            gains[feature[j, node]] += gain[j, node]
+                            tree.value[k, 2 * i + 1] = _leaf(g_in, h_in, classes, step)
+                            tree.value[k, 2 * i + 2] = _leaf(g - g_in, h - h_in, classes, step)
                 if old is not None:
                     old, _ = None, old.unpersist()
-                for (k, node), options in found.items():
-                    i = (1 << level) - 1 + node
-                    best = max(options, key=lambda r: (r["gain"], -r["feature"]))
-                    tree.value[k, i] = _leaf(best["g_all"], best["h_all"], classes, step)
-                    if best["gain"] > 0:
-                        tree.feature[k, i], tree.code[k, i] = best["feature"], best["code"]
-                        gains[best["feature"]] += best["gain"]
-                        tree.value[k, 2 * i + 1] = _leaf(best["g_in"], best["h_in"], classes, step)
-                        tree.value[k, 2 * i + 2] = _leaf(best["g_all"] - best["g_in"], best["h_all"] - best["h_in"], classes, step)
             done.append(tree)
             since.append(tree)
     finally:
@@ -244,4 +240,4 @@ def fit_classes(
 
 
 def _leaf(g: int, h: int, classes: int, step: float) -> float:
-    return step * (classes - 1) / classes * g / h if h else 0.0
+    return step * (classes - 1) / classes * float(g) / float(h) if h else 0.0
