@@ -185,25 +185,19 @@ def significance(spark, folder):
     return tidy(diagnose.significance(found))
 
 
-def _whole(importance):
-    """What SQL can say of importances: how many there are and that they add up to one."""
-    return importance.agg(F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"))
-
-
-@query("feature_importance", "SELECT 3::bigint AS features, 1.0::double AS total")
+@query("feature_importance")
 def feature_importance(spark, folder):
     orders = table(spark, folder, "orders")
-    return _whole(diagnose.feature_importance(orders, "o_totalprice", ["o_custkey", "o_orderstatus", "o_orderpriority"]))
+    return diagnose.feature_importance(orders, "o_totalprice", ["o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
-@query("feature_importance_classes", "SELECT 3::bigint AS features, 1.0::double AS total")
+@query("feature_importance_classes")
 def feature_importance_classes(spark, folder):
     part = table(spark, folder, "part")
-    return _whole(diagnose.feature_importance(part, "p_brand", ["p_retailprice", "p_size", "p_type"]))
+    return diagnose.feature_importance(part, "p_brand", ["p_retailprice", "p_size", "p_type"])
 
 
-@query("top_features", "SELECT 2::bigint AS features, true AS ranked")
+@query("top_features")
 def top_features(spark, folder):
     part = table(spark, folder, "part")
-    top = diagnose.top_features(diagnose.feature_importance(part, "p_retailprice", ["p_size", "p_brand", "p_type"]))
-    return top.agg(F.count("*").alias("features"), (F.max("place") == 2).alias("ranked"))
+    return diagnose.top_features(diagnose.feature_importance(part, "p_retailprice", ["p_size", "p_brand", "p_type"]))
