@@ -1,7 +1,9 @@
 """Gradient boosting for targets with several classes: one tree per class and round, all on the
-gradients of one softmax. Rows hold small integer codes; every level of a round is one job for all classes:
+gradients of one softmax. Rows hold small integer codes; those with the same codes and label have the same
+gradients, so Spark counts them first and they stand as one. Every level of a round is one job for all classes:
 tasks count gradients per class, node and code of a feature, and Spark adds the counters up. Their
-number depends on the model alone, not on the rows; the driver finds the splits in them."""
+number depends on the model alone, not on the rows; the driver finds the splits in them. Where the
+counted rows are no more than such counters, they are fetched instead, and no further job is needed."""
 
 from __future__ import annotations
 
@@ -20,6 +22,7 @@ BINS = 32           # codes of a number
 UNIT = 1 << 20      # gradients are counted in whole units of 1 / UNIT, so sums do not depend on the order of rows
 KEEP = 10           # scores are kept every so many rounds
 ROOM = 1 << 22      # counters a task holds; more classes than fit are counted by another job
+CELLS = 1 << 16     # counted rows a task should read
 
 
 @dataclass(frozen=True)
@@ -97,28 +100,25 @@ def _read(batch: pa.RecordBatch, features: int, classes: int):
     def wide(name, n):
         return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
 
-    return wide("codes", features), batch.column("label").to_numpy(), wide("scores", classes).copy()
+    return wide("codes", features), batch.column("label").to_numpy(), batch.column("n").to_numpy(), wide("scores", classes).copy()
 
 
-def _rows(codes: np.ndarray, label: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
-    def lists(a, kind):
-        ends = pa.array(np.arange(len(a) + 1) * a.shape[1], pa.int32())
-        return pa.ListArray.from_arrays(ends, pa.array(a.ravel(), kind))
+def _lists(a: np.ndarray, kind: pa.DataType) -> pa.Array:
+    ends = pa.array(np.arange(len(a) + 1) * a.shape[1], pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(a.ravel(), kind))
 
-    return pa.RecordBatch.from_arrays(
-        [lists(codes, pa.int32()), pa.array(label, pa.int32()), lists(scores, pa.float64())], ["codes", "label", "scores"]
-    )
 
-
-ROW = "codes array<int>, label int, scores array<double>"
+CODED = "codes array<int>, label int"
+ROW = "codes array<int>, label int, n long, scores array<double>"
 COUNT = "spot long, g long, h long, n long"
 
 
 def _histogram(
-    state: DataFrame, codes: Codes, classes: int, chunk: range, since: list[Round], tree: Round, level: int, depth: int,
+    state: DataFrame | list[pa.RecordBatch], codes: Codes, classes: int, chunk: range, since: list[Round], tree: Round, level: int, depth: int,
 ) -> np.ndarray:
     """Sums of g, h and 1 per class of ``chunk``, node of ``level`` and code. Every task counts its rows and
-    sends the counters that are not zero; Spark adds them up. What comes back is as large as the counters of one task."""
+    sends the counters that are not zero; Spark adds them up. What comes back is as large as the counters of one task.
+    Rows that were fetched are counted here, as by a task."""
     sizes, numbers = codes.sizes, len(codes.thresholds)
     starts, total, width = np.cumsum(sizes) - sizes, int(sizes.sum()), 1 << level
 
@@ -127,7 +127,7 @@ def _histogram(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            coded, label, scores = _read(batch, len(sizes), classes)
+            coded, label, n, scores = _read(batch, len(sizes), classes)
             for r in since:
                 r.add_to(scores, coded, numbers, depth)
             odds = np.exp(scores - scores.max(axis=1, keepdims=True))
@@ -139,13 +139,16 @@ def _histogram(
                 left = (label[here] == k) - odds[here, k]
                 size = np.abs(left)
                 spot = (node[here, None] * total + spots[here]).ravel()
-                for i, w in enumerate((np.rint(left * UNIT), np.rint(size * (1 - size) * UNIT), np.ones(len(left)))):
-                    held[i, j] += np.bincount(spot, np.repeat(w, len(sizes)), width * total)
+                for i, w in enumerate((np.rint(left * UNIT), np.rint(size * (1 - size) * UNIT), 1)):
+                    held[i, j] += np.bincount(spot, np.repeat(w * n[here], len(sizes)), width * total)
         flat = held.reshape(3, -1)
         spot = np.flatnonzero(flat[2])
         yield pa.RecordBatch.from_arrays([pa.array(spot), *[pa.array(f[spot].astype(np.int64)) for f in flat]], ["spot", "g", "h", "n"])
 
-    sums = state.mapInArrow(count, COUNT).groupBy("spot").agg(*[F.sum(c).alias(c) for c in "ghn"]).toArrow()
+    if isinstance(state, list):
+        sums = next(count(state))
+    else:
+        sums = state.mapInArrow(count, COUNT).groupBy("spot").agg(*[F.sum(c).alias(c) for c in "ghn"]).toArrow()
     out = np.zeros((3, len(chunk) * width * total), np.int64)
     out[:, sums["spot"].to_numpy()] = [sums[c].to_numpy() for c in "ghn"]
     return out.reshape(3, len(chunk), width, total)
@@ -179,7 +182,7 @@ def fit_classes(
     """Fit on ``features`` (vector: numbers, then codes of strings) and ``__label`` (0 to ``classes`` - 1).
 
     Scores start at the logarithms of the class shares. A leaf adds ``step`` times its Newton step,
-    (K - 1) / K * sum(g) / sum(|g| (1 - |g|)). Rows are kept in memory or on disk; a lost
+    (K - 1) / K * sum(g) / sum(|g| (1 - |g|)). Counted rows are kept in memory or on disk; a lost
     executor's part is computed again."""
     codes = Codes(tuple(np.unique(np.array(t, float)) for t in thresholds), tuple(levels))
     numbers, features = len(codes.thresholds), len(codes.sizes)
@@ -191,29 +194,35 @@ def fit_classes(
             if b.num_rows:
                 values = b.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, features)
                 label = b.column("__label").to_numpy().astype(np.int32)
-                yield _rows(codes.encode(values), label, np.tile(start, (len(label), 1)))
+                yield pa.RecordBatch.from_arrays([_lists(codes.encode(values), pa.int32()), pa.array(label)], ["codes", "label"])
 
-    def advance(frame, done):
+    def advance(rows, done):
         def go(batches):
             for b in batches:
                 if b.num_rows:
-                    coded, label, scores = _read(b, features, classes)
+                    coded, _, _, scores = _read(b, features, classes)
                     for r in done:
                         r.add_to(scores, coded, numbers, depth)
-                    yield _rows(coded, label, scores)
+                    yield b.set_column(b.schema.get_field_index("scores"), "scores", _lists(scores, pa.float64()))
 
-        return frame.mapInArrow(go, ROW)
+        return list(go(rows)) if isinstance(rows, list) else rows.mapInArrow(go, ROW).persist(StorageLevel.MEMORY_AND_DISK)
 
     rows = ready.select(vector_to_array("features").alias("features"), "__label")
-    state, old = rows.mapInArrow(begin, ROW).persist(StorageLevel.MEMORY_AND_DISK), None
+    counted = rows.mapInArrow(begin, CODED).groupBy("codes", "label").agg(F.count(F.lit(1)).alias("n"))
+    whole = counted.withColumn("scores", F.lit(start.tolist())).persist(StorageLevel.MEMORY_AND_DISK)
     done, since, gains = [], [], np.zeros(features)
     at_once = max(1, ROOM // (3 * int(codes.sizes.sum()) << max(depth - 1, 0)))
     chunks = [range(k, min(k + at_once, classes)) for k in range(0, classes, at_once)]
+    cells, held = whole.count(), [whole]
+    if cells * (features + classes) <= ROOM >> 3:
+        state = whole.toArrow().to_batches()
+    else:
+        state = whole.coalesce(-(-cells // CELLS))
     try:
         for _ in range(rounds):
             if len(since) == KEEP:
-                old, state = state, advance(state, since).persist(StorageLevel.MEMORY_AND_DISK)
-                since = []
+                state, since = advance(state, since), []
+                held.append(state)
             size = (2 << depth) - 1
             tree = Round(np.full((classes, size), -1), np.zeros((classes, size), np.int64), np.zeros((classes, size)))
             for level in range(depth):
@@ -228,16 +237,21 @@ def fit_classes(
                             gains[feature[j, node]] += gain[j, node]
                             tree.value[k, 2 * i + 1] = _leaf(g_in, h_in, classes, step)
                             tree.value[k, 2 * i + 2] = _leaf(g - g_in, h - h_in, classes, step)
-                if old is not None:
-                    old, _ = None, old.unpersist()
+                _release(held, 1)
             done.append(tree)
             since.append(tree)
     finally:
-        state.unpersist()
-        if old is not None:
-            old.unpersist()
+        _release(held, 0)
     return BoostedClasses(codes, start, tuple(done), depth, gains / (gains.sum() or 1.0))
 
 
+def _release(held: list, last: int) -> None:
+    """Let go of kept rows but for the ``last`` ones."""
+    while len(held) > last:
+        rows = held.pop(0)
+        if isinstance(rows, DataFrame):
+            rows.unpersist()
+
+
 def _leaf(g: int, h: int, classes: int, step: float) -> float:
     return step * (classes - 1) / classes * float(g) / float(h) if h else 0.0

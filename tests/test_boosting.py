@@ -121,3 +121,24 @@ def test_hashed_levels(spark):
         assert many.metrics().first()["accuracy"] > 0.9 and {"own", "g"} == {r["feature"] for r in many.importance().collect()}
     blank = spark.createDataFrame([(1, None, None), (2, "new", "g1")], "id int, own string, g string")
     assert fitted.score(blank).where("predicted is null").isEmpty()
+
+
+def test_rows_with_equal_codes_are_counted_once(spark, monkeypatch):
+    """Few different rows: the jobs do not grow with the rounds, and a job for each level gives the same trees."""
+    rows = ready(spark, [([i % 5, i % 3], (i * i + i // 7) % 3) for i in range(600)]).repartition(4)
+    context = spark.sparkContext
+
+    def fit(name):
+        context.setJobGroup(name, name)
+        try:
+            got = boosting.fit_classes(rows, 3, [[0.0, 1.0, 2.0, 3.0, 4.0]], [3], rounds=25, depth=2)
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        return got, len(context.statusTracker().getJobIdsForGroup(name))
+
+    few, jobs = fit("boosting, fetched")
+    monkeypatch.setattr(boosting, "ROOM", 1)
+    each, many = fit("boosting, a job a level")
+    assert jobs < 20 < 50 < many
+    assert all((a.value == b.value).all() and (a.feature == b.feature).all() for a, b in zip(few.rounds, each.rounds))
+    assert few.gains.tolist() == each.gains.tolist()
