@@ -27,6 +27,7 @@ DEPTHS = {"gradient_boosting": 3}   # others 5
 CLASSES = 1000                      # most classes of a target, unless the caller names another number
 REGRESSION, CLASSIFICATION = "regression", "classification"
 MAX_FEATURE_LEVELS = 10_000   # string levels an indexer may hold on the driver
+FIT_ROWS = 200_000            # training rows of a partition; a forest keeps some 500 bytes for each, and reads them in one piece
 
 
 def complete_cases(df: DataFrame, target_column: str, columns="all", keys: Sequence[str] = ()) -> DataFrame:
@@ -60,11 +61,12 @@ def split(df: DataFrame, keys: Sequence[str], test_size: float = TEST_SIZE, seed
 class Layout:
     """How features become a vector, learnt from training rows: per number its median
     (for missing values), mean and deviation; per string its sorted levels and the most
-    frequent one; per hashed string its number of slots and the most frequent value."""
+    frequent one; per hashed string its number of slots and the most frequent value. ``rows`` were seen."""
 
     numeric: dict[str, tuple[float, float, float]]
     text: dict[str, tuple[tuple[str, ...], str]]
     hashed: dict[str, tuple[int, str]] = field(default_factory=dict)
+    rows: int = 0
 
 
 def learn_layout(train: DataFrame, names: Sequence[str], hash_slots: dict[str, int] | int | None = None) -> Layout:
@@ -104,7 +106,7 @@ def learn_layout(train: DataFrame, names: Sequence[str], hash_slots: dict[str, i
     return Layout(
         {c: (medians[c][0], row[f"m{i}"], row[f"s{i}"] or 1.0) for i, c in enumerate(numeric)},
         {c: (tuple(sorted(v for v, _ in found)), min(found, key=lambda x: (-x[1], x[0]))[0]) for c, found in levels.items()},
-        {c: (slots[c], common.get(c, "")) for c in hashing},
+        {c: (slots[c], common.get(c, "")) for c in hashing}, row["rows"],
     )
 
 
@@ -201,6 +203,12 @@ def _learner(problem_type: str, model_type: str, trees: int, rounds: int, depth:
 
 # --- fitting ---------------------------------------------------------------------
 
+def _dealt(ready: DataFrame, layout: Layout) -> DataFrame:
+    """Training rows in even partitions of at most about ``FIT_ROWS``. How a table lies in files says little: one
+    row group is one partition, however many rows it has."""
+    return ready.repartition(-(-layout.rows // FIT_ROWS)) if layout.rows > FIT_ROWS else ready
+
+
 @dataclass(frozen=True)
 class Fitted:
     """A trained model with its lazy prediction table over the test rows."""
@@ -267,7 +275,10 @@ def fit_model(
     deep = DEPTHS.get(model_type, 5) if depth is None else depth
     many = len(labels or ()) > 2 and model_type == "gradient_boosting"
     prepared = preparation(typed, layout, one_hot=not many)
-    ready = prepared.transform(typed).select("features", "__label").persist(StorageLevel.MEMORY_AND_DISK)
+    ready = prepared.transform(typed).select("features", "__label")
+    if model_type != "linear_model":      # those keep nothing besides the rows
+        ready = _dealt(ready, layout)
+    ready.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if many:
             sizes = [len(v) for v, _ in layout.text.values()] + [n for n, _ in layout.hashed.values()]
@@ -400,7 +411,7 @@ def forest_importance(df: DataFrame, target_column: str, columns, trees: int, de
         data = data.withColumn("__label", as_double(data, target_column))
     typed = _typed(data, layout)
     prepared = preparation(typed, layout, one_hot=False)
-    ready = prepared.transform(typed).select("features", "__label").persist(StorageLevel.MEMORY_AND_DISK)
+    ready = _dealt(prepared.transform(typed).select("features", "__label"), layout).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         learner = _learner(CLASSIFICATION if classify else REGRESSION, "random_forest", trees, 0, depth, seed)
         if layout.text:

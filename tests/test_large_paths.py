@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import clean, encode, neighbours, scale
+from tablewright.operators import clean, encode, neighbours, predict, scale
 from tablewright.plans.lookup import join_lookup
 from tablewright.plans.prefix import carried_value, running_total
 from tablewright.plans.quantiles import exact_quantiles, grouped_quantiles
@@ -155,3 +155,23 @@ def test_boxes_stay_even_with_frequent_values():
     assert len(rows) == 50 * 32
     rows, reached = boxes.reached(points[:50], np.zeros(50))
     assert set(zip(rows, reached)) >= set(zip(range(50), boxes.locate(points[:50])))
+
+
+@pytest.mark.parametrize("kind", ["importance", "model"])
+def test_forests_read_even_partitions(spark, kind, monkeypatch):
+    """A table that lies in one partition is dealt out before a forest keeps its weights beside every row."""
+    df = spark.range(600).selectExpr("id", "cast(id % 7 as double) a", "concat('s', id % 3) s", "concat('c', id % 3) c").coalesce(1)
+    seen, fit = [], predict.RandomForestClassifier.fit
+
+    def spy(learner, ready):
+        seen.extend(ready.rdd.glom().map(len).collect())
+        return fit(learner, ready)
+
+    monkeypatch.setattr(predict.RandomForestClassifier, "fit", spy)
+    monkeypatch.setattr(predict, "FIT_ROWS", 100, raising=False)
+    if kind == "importance":
+        found = predict.forest_importance(df, "c", ["a", "s"], 3, 2, 1)
+        assert sum(seen) == 600
+    else:
+        found = predict.fit_model(df, "c", ["id"], ["a", "s"], "classification", trees=3).importance()
+    assert max(seen) <= 110 and found.first()["feature"] == "s"
