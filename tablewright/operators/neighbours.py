@@ -24,6 +24,8 @@ from ..plans.tall import fit_row
 LEAF_ROWS = 4_000       # donors a box should hold
 MAX_DEPTH = 14
 QUERY_ROWS = 20_000     # rows looked up in one box by one task
+BLOCK = 1 << 19         # differences held at once; several arrays of this size are alive in a worker
+VISIT_ROWS = 1_000      # rows whose boxes are listed at once
 
 
 def _split(rows: np.ndarray, scale: np.ndarray) -> tuple[int, float]:
@@ -92,7 +94,7 @@ class Boxes:
         return rows, node - (2**self.depth - 1)
 
 
-def _chunks(queries: np.ndarray, donors: np.ndarray, scale: np.ndarray, budget: int = 4_000_000):
+def _chunks(queries: np.ndarray, donors: np.ndarray, scale: np.ndarray, budget: int = BLOCK):
     """Distances in blocks of rows that fit a small memory budget."""
     step = max(1, budget // max(1, len(donors) * donors.shape[1]))
     for start in range(0, len(queries), step):
@@ -205,9 +207,11 @@ def _nearest(
     reach = paired(asked, radius, T.StructType([*number, T.StructField("radius", T.DoubleType())]))
 
     def visit(batches):
-        for b in batches:
-            row, box = boxes.reached(b[names].to_numpy("float64"), b["radius"].to_numpy())
-            yield b.iloc[row].assign(box=box)
+        for whole in batches:
+            for start in range(0, len(whole), VISIT_ROWS):
+                b = whole.iloc[start:start + VISIT_ROWS]
+                row, box = boxes.reached(b[names].to_numpy("float64"), b["radius"].to_numpy())
+                yield b.iloc[row].assign(box=box)
 
     visits = durable(reach.mapInPandas(visit, T.StructType([
         *number, T.StructField("radius", T.DoubleType()), T.StructField("box", T.LongType())
@@ -216,18 +220,21 @@ def _nearest(
     shown = [*marks, "y"]
 
     def nearest(held_rows: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        parts = []
+        found = []
         if len(held_rows) and len(rows):
             points, limit = rows[names].to_numpy("float64"), rows["radius"].to_numpy()
             for start, d in _chunks(points, held_rows[names].to_numpy("float64"), scale):
                 d = np.where(d <= limit[start:start + len(d), None] * (1 + 1e-9), d, np.inf)
                 last = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
                 i, j = np.nonzero((d <= last[:, None]) & np.isfinite(d))
-                part = held_rows.iloc[j][shown].reset_index(drop=True)
-                part[names] = points[start + i]
-                parts.append(part.assign(distance=d[i, j]))
+                found.append((start + i, j, d[i, j]))
         wanted = [*names, *shown, "distance"]
-        return pd.concat(parts)[wanted] if parts else pd.DataFrame(columns=wanted)
+        if not found:
+            return pd.DataFrame(columns=wanted)
+        i, j, distance = (np.concatenate(part) for part in zip(*found))
+        part = held_rows.iloc[j][shown].reset_index(drop=True)
+        part[names] = points[i]
+        return part.assign(distance=distance)[wanted]
 
     schema = T.StructType([
         *number, *[T.StructField(s, kinds[s]) for s in shown], T.StructField("distance", T.DoubleType())

@@ -1,6 +1,8 @@
 """The plans meant for large data, forced on small data and compared with brute force."""
 
+import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -175,3 +177,17 @@ def test_forests_read_even_partitions(spark, kind, monkeypatch):
     else:
         found = predict.fit_model(df, "c", ["id"], ["a", "s"], "classification", trees=3).importance()
     assert max(seen) <= 110 and found.first()["feature"] == "s"
+
+
+def test_distances_of_a_full_box_stay_small():
+    """As many rows and donors as a task may compare: the arrays alive at once take a few megabytes, and every row comes once."""
+    rng = np.random.default_rng(2)
+    rows, donors, scale = rng.random((neighbours.QUERY_ROWS, 2)), rng.random((neighbours.LEAF_ROWS, 2)), np.array([1.0, 2.0])
+    tracemalloc.start()
+    seen = 0
+    for start, d in neighbours._chunks(rows[:2_000], donors, scale):
+        assert start == seen and d[0, 0] == pytest.approx(math.dist(rows[start] / scale, donors[0] / scale))
+        seen += len(d)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 2_000 and peak < 24 << 20
