@@ -81,7 +81,7 @@ class Encoder:
         self.flat, self.begin = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
 
     def direct(self, text: str) -> np.ndarray:
-        return np.array(self.inner.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.inner.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)    # no offsets
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
@@ -131,8 +131,7 @@ class Encoder:
         slots = [get(h, -1) for h in hashes.tolist()]
         missing = [i for i, s in enumerate(slots) if s < 0]
         if missing:
-            words = [flat[starts[at[i]]:ends[at[i]]].tobytes().decode("utf-16-le") for i in missing]
-            self._learn(hashes[missing].tolist(), words)
+            self._learn(hashes[missing].tolist(), _words(flat, starts[at[missing]], ends[at[missing]]))
             for i in missing:
                 slots[i] = get(int(hashes[i]))
         slot = np.array(slots, np.int64)[back]
@@ -167,6 +166,15 @@ class Encoder:
                 self.known[h] = n + j
 
 
+def _words(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The words between ``starts`` and ``ends``, none of which holds a space, decoded together."""
+    sizes = ends - starts + 1                       # with a space after each
+    done = np.cumsum(sizes)
+    joined = flat[np.minimum(np.repeat(starts - (done - sizes), sizes) + np.arange(done[-1]), len(flat) - 1)]
+    joined[done - 1] = 0x20
+    return joined[:-1].tobytes().decode("utf-16-le").split(" ")
+
+
 def choose_cuts(places: list[int], costs: list[int], length: int = LENGTH) -> list[int]:
     """Cuts of least cost: padding of every window plus the cost of every cut.
 

@@ -493,3 +493,11 @@ def edited_found(n, edits, seed):
 @pytest.mark.parametrize("n, edits, least", [(50, 1, 100), (50, 5, 99), (60, 6, 99), (60, 12, 85), (80, 16, 90), (120, 24, 95), (120, "fifth", 80)])
 def test_recall_of_edited_passages(n, edits, least):
     assert sum(edited_found(n, edits, seed) for seed in range(100)) >= least
+
+
+def test_new_words_are_decoded_together():
+    """Words anywhere in a run of texts, the last one at its end, come out as they are, in the order asked for."""
+    text = "ab ñandú, x 7"
+    flat = np.frombuffer(text.encode("utf-16-le"), np.uint16)
+    starts, ends = np.array([12, 3, 8, 0, 10]), np.array([13, 8, 9, 2, 11])
+    assert packing._words(flat, starts, ends) == ["7", "ñandú", ",", "ab", "x"]
