@@ -343,3 +343,36 @@ def test_bound_of_ends_never_loses_a_passage():
         assert may[n] or not passage
         found += passage is not None
     assert 20 < found < 380 and 20 < may.sum() < 380
+
+
+def test_chance_phrases_are_dropped_before_words_are_sent(spark, monkeypatch):
+    """Documents that share four words and no passage: no chain of theirs is stored, and stored chains hold no words."""
+    line, kept, keep = prose(60, 4, 10**6), [], chains.stored
+
+    def looked_at(df, name):
+        out = keep(df, name)
+        if name == "passages":
+            kept.append((out.count(), set(out.columns)))
+        return out
+
+    monkeypatch.setattr(chains, "stored", looked_at)
+    passage = prose(61, 70, 10**6)
+    rows = [(i, f"{prose(500 + i, 60, 10**6)} {passage if i in (3, 9) else line} {prose(700 + i, 60, 10**6)}") for i in range(40)]
+    got = chains.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert [(r.doc_id, r.start_word, r.end_word, r.source_id, r.source_start, r.matched) for r in got] == [(9, 60, 130, 3, 60, 70)]
+    assert sum(n for n, _ in kept) <= 2 and not any(columns & {"words", "source", "around"} for _, columns in kept)
+
+
+def test_seeds_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(5)
+    for vocabulary in (2, 9, 10**6):
+        sizes = np.concatenate([[0, 3, 4, 5, 7, 0], rng.integers(0, 60, 30)])
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        words = rng.integers(0, 1 << 60, vocabulary).astype(np.uint64)[rng.integers(0, vocabulary, first[-1])]
+        key, place, doc = chains.all_seeds(words, first)
+        for d, (a, b) in enumerate(zip(first[:-1], first[1:])):
+            n = b - a - chains.SEED + 1
+            grams = chains.hash_ranges(words[a:b], np.arange(max(n, 0)), np.arange(max(n, 0)) + chains.SEED, chains.BASE)
+            wide = min(chains.WINDOW, n)
+            least = {min(grams[i:i + wide].tolist()) for i in range(n - wide + 1)} if n > 0 else set()
+            assert list(zip(place[doc == d].tolist(), key[doc == d].tolist())) == [(i, g) for i, g in enumerate(grams.tolist()) if g in least]
