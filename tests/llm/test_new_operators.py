@@ -376,3 +376,28 @@ def test_seeds_of_many_texts_are_those_of_each():
             wide = min(chains.WINDOW, n)
             least = {min(grams[i:i + wide].tolist()) for i in range(n - wide + 1)} if n > 0 else set()
             assert list(zip(place[doc == d].tolist(), key[doc == d].tolist())) == [(i, g) for i, g in enumerate(grams.tolist()) if g in least]
+
+
+def test_chains_and_pairs_go_in_shares(spark, monkeypatch):
+    """Of more text than a share, no stored table has all chains or all pairs of seeds, and the passages are the same."""
+    one, two = (prose(62 + k, 90, 10**6).split() for k in range(2))
+    rows = [(i, " ".join([prose(800 + i, 40, 10**6), *(one[:45], two[45:], one[45:], two[:45])[i % 4], prose(900 + i, 40, 10**6)])) for i in range(8)]
+    rows += [(i, " ".join([prose(800 + i, 40, 10**6), *(one, two)[i % 2], prose(900 + i, 40, 10**6)])) for i in range(8, 40)]
+    docs, keep, got = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache(), chains.stored, []
+    for share in (1 << 30, 2000):
+        sizes = {}
+
+        def counted(df, name):
+            out = keep(df, name)
+            sizes.setdefault(name, []).append(out.count())
+            return out
+
+        monkeypatch.setattr(chains, "stored", counted)
+        monkeypatch.setattr(chains, "GROUPS", (share, 4))
+        monkeypatch.setattr(chains, "PASSES", (share, 8))
+        got.append((sorted(map(tuple, chains.fuzzy_passages(docs, chunk_bytes=500, bucket_keys=100).collect())), sizes))
+    (rows, whole), (same, shares) = got
+    assert rows == same and len({r[0] for r in rows}) > 20
+    assert sum(shares["passages"][:4]) == whole["passages"][0] and max(shares["passages"][:4]) < 0.7 * whole["passages"][0]
+    first = shares["asks"][0::2][:8]
+    assert sum(first) == whole["asks"][0] and max(first) < 0.5 * whole["asks"][0]
