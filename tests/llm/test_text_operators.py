@@ -501,3 +501,32 @@ def test_new_words_are_decoded_together():
     flat = np.frombuffer(text.encode("utf-16-le"), np.uint16)
     starts, ends = np.array([12, 3, 8, 0, 10]), np.array([13, 8, 9, 2, 11])
     assert packing._words(flat, starts, ends) == ["7", "ñandú", ",", "ab", "x"]
+
+
+def test_chains_of_every_place_and_of_short_passages(spark):
+    """Halves come first in different documents: a text that holds the passage twice has it twice, and one of 50 words is found as well."""
+    long, short = prose(93, 90, 10**6).split(), prose(94, 50, 10**6).split()
+    fill = iter(range(300, 400))
+
+    def around(*parts):
+        return " ".join(" ".join([prose(next(fill), 30, 10**6), *p]) for p in [*parts, []])
+
+    rows = [(1, around(long[:45])), (2, around(long[45:])), (3, around(long)), (4, around(long, long)), (5, around(short[:25])), (6, around(short[25:])), (7, around(short)), (8, around(short))]
+    got = chains.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), chunk_bytes=500, bucket_keys=100).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.source_id, r.source_start) for r in got} == {(4, 30, 120, 3, 30), (4, 150, 240, 3, 30), (8, 30, 80, 7, 30)}
+
+
+def test_runs_of_least_words():
+    """Every run of 50 words that two texts share begins where both are told to look, whatever stands around it."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        one, two = (rng.integers(0, 40, 160).astype(np.uint64) + np.uint64(k) for k in (0, 1000))
+        two[40:90] = one[70:120]
+        first = np.array([0, 60, 160, 320])
+        words = np.concatenate([one, two])
+        names, place, doc = chains.all_seeds(words, first)
+        several = np.isin(names, np.intersect1d(names[doc == 1], names[doc == 2]))
+        assert {70, 200} <= set(chains.runs_of_least(len(words), (first[doc] + place)[several], first).tolist())
+        loose = np.ones(320, bool)
+        loose[200:247] = False
+        assert 200 not in chains.runs_of_least(len(words), (first[doc] + place)[several], first, loose)
